@@ -6,9 +6,11 @@ documents that hold it, counted over all documents in 2**18 hashed classes of sh
 grouped into bands; texts that share a band are candidates, and pairs are linked where the weighted Jaccard similarity of the
 whole texts is at the threshold or above. Classes are the connected components of links.
 
-Candidates are taken in two steps. First each text is compared with the smallest id of each of its bands' buckets, which
-joins almost all copies with few comparisons. Then, in every bucket that still holds several classes, all samples are compared
-in blocks, and each pair of different classes that agrees in enough samples is verified too.
+Candidates are taken in three steps. First each text is compared with the smallest id of each of its bands' buckets. Then, in
+every bucket that still holds several classes, all samples are compared in blocks, and each text is verified with the text of
+another class that it agrees with most; this is repeated while it finds links, and joins almost all copies with a number of
+comparisons in proportion to their number. Last, every pair of different classes in a bucket that agrees in enough samples is
+verified.
 
 Equal texts form one class without being compared. Null texts and texts without words are classes of their own. A table
 without rows gives no rows; further columns are ignored.
@@ -223,9 +225,9 @@ def verified(docs: DataFrame, pairs: DataFrame, weight_of: np.ndarray, least: fl
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def agreeing(members: DataFrame, block: int = BLOCK, agree: int = AGREE) -> DataFrame:
+def agreeing(members: DataFrame, best: bool, block: int = BLOCK, agree: int = AGREE) -> DataFrame:
     """Pairs a < b of members (band, bucket, id, sig, class) of a bucket that are in different classes and agree in enough
-    samples; all members of a bucket are compared, in blocks."""
+    samples; all members of a bucket are compared, in blocks. best: only that pair of each member that agrees most."""
     bucket = ["band", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +237,27 @@ def agreeing(members: DataFrame, block: int = BLOCK, agree: int = AGREE) -> Data
             same = np.zeros((len(ids), len(ids)), np.int16)
             for k in range(sig.shape[1]):
                 same += sig[:, k][:, None] == sig[:, k][None, :]
-            hit = (same >= agree) & (cls[:, None] != cls[None, :]) & (ids[:, None] < ids[None, :])
+            hit = (same >= agree) & (cls[:, None] != cls[None, :])
             if g.column("i")[0].as_py() != g.column("j")[0].as_py():
                 hit &= own[:, None] != own[None, :]
-            a, b = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            if best:
+                a = np.flatnonzero(hit.any(axis=1))
+                b = np.where(hit, same, -1)[a].argmax(axis=1)
+            else:
+                a, b = np.nonzero(hit & (ids[:, None] < ids[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(same[a, b].astype(np.int32))], ["a", "b", "n"])
 
-    return blocks.paired(blocks.candidates(members, bucket), bucket, "id", block).mapInArrow(run, "a long, b long").distinct()
+    out = blocks.paired(blocks.candidates(members, bucket), bucket, "id", block).mapInArrow(run, "a long, b long, n int")
+    if best:
+        out = out.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def several_classes(members: DataFrame, of: DataFrame, unique: DataFrame) -> DataFrame:
+    """band, bucket, id, sig, class of all members of buckets that hold several classes."""
+    classed = members.select("band", "bucket", "id").join(of, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    mixed = classed.groupBy("band", "bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band", "bucket")
+    return classed.join(mixed, ["band", "bucket"]).join(unique.select("id", "sig"), "id").select("band", "bucket", "id", "sig", "class")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -255,16 +271,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     buckets = unique.select("id", F.posexplode(bands).alias("band", "bucket"))
     hub = buckets.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = common.saved(buckets.join(hub, ["band", "bucket"]).select("band", "bucket", "id", "hub"), "members")
-    star = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = common.saved(verified(docs, star, weight_of, least), "links")
+    candidates = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = common.saved(docs.join(candidates, "doc_id", "left_semi"), "texts")
+    tried = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = common.saved(verified(texts, tried, weight_of, least), "links")
     of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-    classed = members.select("band", "bucket", "id").join(of, "id", "left").withColumn("class", F.coalesce("component", "id"))
-    mixed = classed.groupBy("band", "bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band", "bucket")
-    rest = classed.join(mixed, ["band", "bucket"]).join(unique.select("id", "sig"), "id").select("band", "bucket", "id", "sig", "class")
-    more = common.saved(agreeing(rest).join(star, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(common.saved(verified(docs, more, weight_of, least), "links"))
-        of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
+    best = True
+    while True:
+        more = common.saved(agreeing(several_classes(members, of, unique), best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = common.saved(verified(texts, more, weight_of, least), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
+        elif best:
+            best = False
+            continue
+        if not best:
+            break
+        tried = tried.unionByName(more)
     known = unique.select("same", "id").join(of, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     worded = sigs.select("id", "same").join(known, "same").select("id", "class_id")
     alone = docs.select(F.col("doc_id").alias("id")).join(sigs.select("id"), "id", "left_anti").withColumn("class_id", F.col("id"))
