@@ -112,9 +112,9 @@ class Embedding:
                 if self.kind == "transe":
                     e /= np.maximum(1, np.linalg.norm(e, axis=1, keepdims=True))
         spark = g.facts.sparkSession
-        self.entities = spark.createDataFrame(pd.DataFrame({"e": names, "v": list(e)}), "e string, v array<double>")
+        self.entities = spark.createDataFrame(pd.DataFrame({"e": names.tolist(), "v": e.tolist()}), "e string, v array<double>")
         vec = [x.reshape(self.dim, self.dim).tolist() if self.kind == "rescal" else x.tolist() for x in w]
-        self.relations = spark.createDataFrame(pd.DataFrame({"p": rels, "w": vec}), "p string, w " + ("array<array<double>>" if self.kind == "rescal" else "array<double>"))
+        self.relations = spark.createDataFrame(pd.DataFrame({"p": rels.tolist(), "w": vec}), "p string, w " + ("array<array<double>>" if self.kind == "rescal" else "array<double>"))
         return self
 
     def score(self, pairs: DataFrame) -> DataFrame:
