@@ -1,6 +1,6 @@
 """Exact removal of byte strings that also start earlier: content-sharded suffix arrays.
 
-Every 100-byte window has an anchor, the 32-byte string within it whose hash is least, so equal windows have equal anchors.
+Every 100-byte window has an anchor, the 64-byte string within it whose hash is least, so equal windows have equal anchors.
 Windows whose anchor is unique are unique. The others go, with the segment of text that their run of windows covers, to the
 shard of their anchor. Equal segments are represented by the earliest; where an anchor has several different segments, their
 shard's suffix array is built by induced sorting, and permuted common prefixes of 100 bytes or more tell which windows are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import blocks, common, sais
 from .minhash import powers
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 64
 #: One document of SAMPLE is counted for frequent anchors, of which FREQUENT at most are told to the executors; the segments of
 #: an anchor that go to one shard, the bytes of a shard.
 SAMPLE, FREQUENT, MOST, SHARD = 16, 5000, 400, 1_000_000
