@@ -183,3 +183,17 @@ def test_stream(g, spark, tmp_path):
     q = x.writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("scored")) == rows(statistics.type_agreement(g.facts, g.types))
+
+
+def test_command_line(spark, tmp_path):
+    from factloom import cli
+
+    r, a = triples.RESOURCE, triples.RDF
+    lines = [f"<{r}{x}> <{a}type> <http://c/{t}> ." for x, t in TYPES] + [f"<{r}{s}> <http://p/{p}> <{r}{o}> ." for p, s, o in FACTS]
+    (tmp_path / "g.nt").write_text("\n".join(lines))
+    cli.main(["load", str(tmp_path / "g.nt"), "-o", str(tmp_path / "kg")])
+    cli.main(["generate", str(tmp_path / "kg"), "-o", str(tmp_path / "bad"), "-pe", "0.9"])
+    cli.main(["rank", str(tmp_path / "kg"), "-o", str(tmp_path / "ranked")])
+    cli.main(["detect", str(tmp_path / "bad"), "-o", str(tmp_path / "metrics")])
+    assert spark.read.parquet(str(tmp_path / "ranked")).count() == 7
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == 1
