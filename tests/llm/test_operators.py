@@ -137,7 +137,7 @@ def test_secrets(spark):
     texts = [None, "", f'say token = "{key}" end', f"in commit {key} we", "see release_notes_version_7_summary now", f'token = "{key}" and token = "{key[::-1]}"']
     docs = spark.createDataFrame([(i, t, "src", "y") for i, t in enumerate(texts)], "doc_id long, text string, source string, parts string")
     found = [(r.doc_id, r.start, r["size"]) for r in secrets.scan(docs, votes).filter("is_secret").orderBy("doc_id", "start").collect()]
-    assert found == [(2, 13, 40), (5, 9, 40), (5, 65, 40)]
+    assert found == [(2, texts[2].index(key), 40), (5, texts[5].index(key), 40), (5, texts[5].index(key[::-1]), 40)]
     clean = {r.doc_id: r.text for r in secrets.redact(docs, votes).collect()}
     assert clean[0] is None and clean[2] == 'say token = "[SECRET]" end' and clean[3] == texts[3] and clean[5] == 'token = "[SECRET]" and token = "[SECRET]"'
     new = secrets.labelled_findings(spark, 4000).filter("candidate IS NOT NULL")
