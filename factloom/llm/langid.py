@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Parameters: the bound of the training sample for each language, least count of an n-gram, least share of the largest
+#: Parameters: the bound of the training sample for each language, how many times as many rows are looked at, least count of an n-gram, least share of the largest
 #: frequency in any language, n-grams kept for each language, slots (a power of 2) and hashes of the filter.
-SAMPLE, LEAST, SHARE, MOST, SLOTS, HASHES = 2000, 3, 0.3, 40_000, 20, 3
+SAMPLE, SPARE, LEAST, SHARE, MOST, SLOTS, HASHES = 2000, 4, 3, 0.3, 40_000, 20, 3
 CHUNK = 2_000_000
 _ODD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 
@@ -104,10 +104,16 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from text and lang of a bounded sample: for each language the `sample` rows whose text hashes lowest. What
-    reaches the driver is at most MOST n-grams for each language."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = labelled.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample)
+    """Learns from text and lang of a bounded sample: for each language the `sample` different texts that hash lowest. Where a
+    language has more rows than SPARE times that, only texts in as large a share of the hash range are shuffled, so that the
+    work after the scan does not grow with the rows; if most of them are copies, the sample may be smaller. What reaches the
+    driver is at most MOST n-grams for each language."""
+    rows = labelled.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("rows")))  # a row for each language; the model has a bit for each
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * sample)) / F.col("rows"))
+    low = rows.join(counts, "lang").withColumn("h", F.xxhash64("text")).filter(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)
+    low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
