@@ -10,7 +10,7 @@ Candidates are taken in three steps. First each text is compared with the smalle
 every bucket that still holds several classes, all samples are compared in blocks, and each text is verified with the text of
 another class that it agrees with most; this is repeated while it finds links, and joins almost all copies with a number of
 comparisons in proportion to their number. Last, every pair of different classes in a bucket that agrees in enough samples is
-verified.
+verified: the texts of two blocks with such pairs meet in one task, which returns what they connect, not the pairs.
 
 Equal texts form one class without being compared. Null texts and texts without words are classes of their own. A table
 without rows gives no rows; further columns are ignored.
@@ -33,7 +33,7 @@ from .components import components
 #: Words in a shingle, least similarity, bands and samples in each (a pair at 0.8 shares a band with probability 0.999), hashed
 #: classes of shingles, least agreeing samples of a pair in the second step (a pair at 0.8 has fewer in 2 of 10,000 cases).
 WORDS, LEAST, BANDS, ROWS, CLASSES, AGREE, BLOCK = 5, 0.8, 10, 3, 18, 15, 512
-CHUNK = 1_000_000
+CHUNK, TILE = 1_000_000, 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -178,7 +178,7 @@ def samples(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, k: i
 
 
 def signatures(docs: DataFrame, weight_of: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, same (digest of the text), sig: array<long>; without null texts and texts without words."""
+    """id, same (digest of the text), size (its bytes), sig: array<long>; without null texts and texts without words."""
     held = docs.sparkSession.sparkContext.broadcast(weight_of)  # 2**CLASSES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +189,10 @@ def signatures(docs: DataFrame, weight_of: np.ndarray, key: str = "doc_id", text
                 keep = np.unique(row)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * sig.shape[1], pa.int32()), pa.array(sig[keep].ravel()))
                 at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("same").take(at), sig], ["id", "same", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("same").take(at), part.column("size").take(at), sig], ["id", "same", "size", "sig"])
 
-    rows = docs.select(F.col(key).alias("id"), F.unhex(F.md5(text)).alias("same"), F.col(text).alias("t")).filter("t IS NOT NULL")
-    return rows.mapInArrow(run, "id long, same binary, sig array<long>")
+    rows = docs.select(F.col(key).alias("id"), F.unhex(F.md5(text)).alias("same"), F.octet_length(text).cast("long").alias("size"), F.col(text).alias("t")).filter("t IS NOT NULL")
+    return rows.mapInArrow(run, "id long, same binary, size long, sig array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, weight_of: np.ndarray, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,39 +225,132 @@ def verified(docs: DataFrame, pairs: DataFrame, weight_of: np.ndarray, least: fl
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def agreeing(members: DataFrame, best: bool, block: int = BLOCK, agree: int = AGREE) -> DataFrame:
-    """Pairs a < b of members (band, bucket, id, sig, class) of a bucket that are in different classes and agree in enough
-    samples; all members of a bucket are compared, in blocks. best: only that pair of each member that agrees most."""
-    bucket = ["band", "bucket"]
+def _agreement(g: pa.RecordBatch, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the members of two blocks: how many samples each two share, and which two are in different classes, agree in enough
+    samples, and belong here: to their own pair of blocks, and to the first band that they share."""
+    cls, own, band = g.column("class").to_numpy(), g.column("own").to_numpy(), g.column("band")[0].as_py()
+    sig = np.asarray(g.column("sig").flatten()).reshape(len(cls), -1)
+    same = np.zeros((len(cls), len(cls)), np.int16)
+    hit = cls[:, None] != cls[None, :]
+    for k in range(0, sig.shape[1], ROWS):
+        equal = [sig[:, j][:, None] == sig[:, j][None, :] for j in range(k, k + ROWS)]
+        same += sum(x.astype(np.int16) for x in equal)
+        if k < band * ROWS:
+            hit &= ~np.logical_and.reduce(equal)
+    hit &= same >= agree
+    if g.column("i")[0].as_py() != g.column("j")[0].as_py():
+        hit &= own[:, None] != own[None, :]
+    return same, hit
+
+
+def best_partners(members: DataFrame, agree: int = AGREE) -> DataFrame:
+    """Pairs a < b: for each member (band, bucket, id, sig, class) the one of another class in its buckets that shares most
+    samples with it, if enough. All members of a bucket are compared, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in blocks.groups(batches, [*bucket, "i", "j"]):
-            ids, cls, own = (g.column(c).to_numpy() for c in ("id", "class", "own"))
-            sig = np.asarray(g.column("sig").flatten()).reshape(len(ids), -1)
-            same = np.zeros((len(ids), len(ids)), np.int16)
-            for k in range(sig.shape[1]):
-                same += sig[:, k][:, None] == sig[:, k][None, :]
-            hit = (same >= agree) & (cls[:, None] != cls[None, :])
-            if g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                hit &= own[:, None] != own[None, :]
-            if best:
-                a = np.flatnonzero(hit.any(axis=1))
-                b = np.where(hit, same, -1)[a].argmax(axis=1)
-            else:
-                a, b = np.nonzero(hit & (ids[:, None] < ids[None, :]))
+        for g in blocks.groups(batches, ["band", "bucket", "i", "j"]):
+            ids = g.column("id").to_numpy()
+            same, hit = _agreement(g, agree)
+            a = np.flatnonzero(hit.any(axis=1))
+            b = np.where(hit, same, -1)[a].argmax(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(same[a, b].astype(np.int32))], ["a", "b", "n"])
 
-    out = blocks.paired(blocks.candidates(members, bucket), bucket, "id", block).mapInArrow(run, "a long, b long, n int")
-    if best:
-        out = out.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    bucket = ["band", "bucket"]
+    out = blocks.paired(blocks.candidates(members, bucket), bucket, "id", BLOCK).mapInArrow(run, "a long, b long, n int")
+    out = out.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def tiles(members: DataFrame, agree: int = AGREE) -> DataFrame:
+    """tile, id, class: the members (band, bucket, id, sig, class, size) that have pairs to verify, put together so that every
+    such pair is in a tile, and a tile's texts have 2 * TILE bytes at most (or are two)."""
+    limit = TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in blocks.groups(batches, ["band", "bucket", "i", "j"]):
+            _, hit = _agreement(g, agree)
+            at = np.flatnonzero(hit.any(axis=1))
+            if not len(at):
+                continue
+            hit = hit[at][:, at]
+            where = np.array([g.column(c)[0].as_py() for c in ("band", "bucket", "i", "j")], np.int64).view(np.uint64)
+            ranges = list(common.row_chunks(g.column("size").to_numpy()[at], limit))
+            for x, (a, b) in enumerate(ranges):
+                for y, (c, d) in enumerate(ranges[x:], x):
+                    if not hit[a:b, c:d].any():
+                        continue
+                    tile = np.zeros(1, np.uint64)
+                    for v in (*where, np.uint64(x), np.uint64(y)):
+                        tile = common.mix64(tile + np.uint64(_BASE) ^ v)
+                    own = pa.array(at[a:b] if x == y else np.concatenate([at[a:b], at[c:d]]))
+                    ids = g.column("id").take(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile.view(np.int64), len(ids))), ids, g.column("class").take(own)], ["tile", "id", "class"])
+
+    bucket = ["band", "bucket"]
+    return blocks.paired(blocks.candidates(members, bucket), bucket, "id", BLOCK).mapInArrow(run, "tile long, id long, class long")
+
+
+def shared_weight(row: np.ndarray, value: np.ndarray, count: np.ndarray, weight_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each of n rows, and what each two different rows share: the sum of the lesser weights of their shingles. The k-th
+    occurrence of a shingle is an element of its own; frequent elements are counted by matrix products, others pair by pair."""
+    weight = weight_of[class_of(value)].astype(np.float64)
+    total = np.bincount(row, count * weight, minlength=n)
+    value, row, weight = (np.repeat(x, count) for x in (value, row, weight))
+    nth = np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.lexsort((row, nth, value))
+    value, nth, row, weight = value[order], nth[order], row[order], weight[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (nth[1:] != nth[:-1])
+    first = np.flatnonzero(new)
+    holders = np.diff(np.append(first, len(value)))
+    out = np.zeros(n * n)
+    for m in range(2, n // 8 + 1):
+        own = first[holders == m]
+        for lo in range(0, len(own), step := max(1, (1 << 20) // (m * m))):
+            start = own[lo : lo + step]
+            r = row[start[:, None] + np.arange(m)]
+            out += np.bincount((r[:, :, None] * n + r[:, None, :]).ravel(), np.repeat(weight[start], m * m), minlength=n * n)
+    out = out.reshape(n, n)
+    often = np.flatnonzero((holders > max(1, n // 8)) & (holders > 1))
+    for lo in range(0, len(often), 2048):
+        which = often[lo : lo + 2048]
+        m = holders[which]
+        column = np.repeat(np.arange(len(which)), m)
+        r = row[np.repeat(first[which], m) + np.arange(len(column)) - np.repeat(np.cumsum(m) - m, m)]
+        held = np.zeros((n, len(which)))
+        held[r, column] = 1
+        out += (held * weight[first[which]]) @ held.T
+    return total, out
+
+
+def tile_links(docs: DataFrame, tiled: DataFrame, weight_of: np.ndarray, least: float = LEAST) -> DataFrame:
+    """a, b: joins the members of a tile that links between different classes connect. All pairs of a tile are verified by
+    their whole texts; a row for each member at most is returned, which connects what the links connect."""
+    weights = docs.sparkSession.sparkContext.broadcast(weight_of)  # 2**CLASSES numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in blocks.groups(batches, ["tile"]):
+            parts, base = [], 0
+            for part in common.text_chunks(g, "text", CHUNK):
+                row, value, count = shingles(part.column("text"))
+                parts.append((row + base, value, count))
+                base += part.num_rows
+            total, both = shared_weight(*(np.concatenate(x) for x in zip(*parts, strict=True)), weights.value, base)
+            cls, ids = g.column("class").to_numpy(), g.column("id").to_numpy()
+            link = (both >= (least - 1e-9) * np.maximum(total[:, None] + total[None, :] - both, 1e-300)) & (cls[:, None] != cls[None, :])
+            to = ids[blocks.local_components(link)]
+            own = to != ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(to[own])], ["a", "b"])
+
+    rows = tiled.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("tile", "id", "class", "text")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
 def several_classes(members: DataFrame, of: DataFrame, unique: DataFrame) -> DataFrame:
-    """band, bucket, id, sig, class of all members of buckets that hold several classes."""
+    """band, bucket, id, sig, size, class of all members of buckets that hold several classes."""
     classed = members.select("band", "bucket", "id").join(of, "id", "left").withColumn("class", F.coalesce("component", "id"))
     mixed = classed.groupBy("band", "bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band", "bucket")
-    return classed.join(mixed, ["band", "bucket"]).join(unique.select("id", "sig"), "id").select("band", "bucket", "id", "sig", "class")
+    return classed.join(mixed, ["band", "bucket"]).join(unique.select("id", "sig", "size"), "id").select("band", "bucket", "id", "sig", "size", "class")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -265,8 +358,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     weight_of = idf(*frequencies(docs))
     sigs = common.saved(signatures(docs, weight_of), "signatures")
-    first = F.min(F.struct("id", "sig"))
-    unique = common.saved(sigs.groupBy("same").agg(first.alias("f")).select("same", F.col("f.id").alias("id"), F.col("f.sig").alias("sig")), "unique")
+    first = F.min(F.struct("id", "size", "sig"))
+    unique = common.saved(sigs.groupBy("same").agg(first.alias("f")).select("same", "f.id", "f.size", "f.sig"), "unique")
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * ROWS + k] for k in range(ROWS))) for b in range(BANDS)))
     buckets = unique.select("id", F.posexplode(bands).alias("band", "bucket"))
     hub = buckets.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
@@ -276,19 +369,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     tried = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = common.saved(verified(texts, tried, weight_of, least), "links")
     of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-    best = True
     while True:
-        more = common.saved(agreeing(several_classes(members, of, unique), best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = common.saved(best_partners(several_classes(members, of, unique)).join(tried, ["a", "b"], "left_anti"), "pairs")
         new = common.saved(verified(texts, more, weight_of, least), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-        elif best:
-            best = False
-            continue
-        if not best:
+        if new.isEmpty():
             break
-        tried = tried.unionByName(more)
+        tried, links = tried.unionByName(more), links.unionByName(new)
+        of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
+    tiled = common.saved(tiles(several_classes(members, of, unique)), "tiles")
+    last = common.saved(tile_links(texts, tiled, weight_of, least), "links")
+    of = common.saved(components(links.select("a", "b").unionByName(last)).withColumnRenamed("v", "id"), "classes")
     known = unique.select("same", "id").join(of, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     worded = sigs.select("id", "same").join(known, "same").select("id", "class_id")
     alone = docs.select(F.col("doc_id").alias("id")).join(sigs.select("id"), "id", "left_anti").withColumn("class_id", F.col("id"))

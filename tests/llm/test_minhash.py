@@ -70,6 +70,7 @@ def test_like_all_pairs(spark):
 
 def test_second_step_finds_links_that_hubs_miss(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "TILE", 3000)
     base = [f"w{i}" for i in range(200)]
     rows = [(0, " ".join(base))]
     for k in range(1, 12):
@@ -86,6 +87,39 @@ def test_second_step_finds_links_that_hubs_miss(spark, monkeypatch):
         assert got == brute({order * i: t or "" for i, t in texts.items()}, minhash.LEAST)
 
 
+@pytest.mark.parametrize("n", [3, 40])
+def test_shared_weight(n):
+    rng = np.random.default_rng(n)
+    texts = [" ".join(rng.choice(["a", "b", "c"], rng.integers(0, 60))) for _ in range(n)] + ["a " * 30, "a " * 20, ""]
+    row, value, count = minhash.shingles(pa.array(texts))
+    weight_of = rng.random(1 << minhash.CLASSES).astype(np.float32)
+    total, both = minhash.shared_weight(row, value, count, weight_of, len(texts))
+    sets = [dict(zip(value[row == i].tolist(), count[row == i].tolist(), strict=True)) for i in range(len(texts))]
+    w = {v: float(weight_of[minhash.class_of(np.array([v], np.uint64))[0]]) for v in value.tolist()}
+    for i, a in enumerate(sets):
+        assert total[i] == pytest.approx(sum(k * w[v] for v, k in a.items()))
+        for j, b in enumerate(sets):
+            assert i == j or both[i, j] == pytest.approx(sum(min(k, b.get(v, 0)) * w[v] for v, k in a.items()))
+
+
+def test_last_step_alone_finds_all_classes(spark, monkeypatch):
+    """With the second step's pairs taken away, the tiles find the same classes."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "TILE", 4000)
+    full = minhash.best_partners
+    monkeypatch.setattr(minhash, "best_partners", lambda members: full(members).filter("false"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    base = [f"w{i}" for i in range(200)]
+    for k in range(12):
+        own = base.copy()
+        for j in range(3):
+            own[(k * 17 + j * 60) % 200] = f"z{k}{j}"
+        texts[10**6 + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == brute(texts, minhash.LEAST)
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
