@@ -8,8 +8,8 @@ whole texts is at the threshold or above. Classes are the connected components o
 
 Candidates are taken in three steps. First each text is compared with the smallest id of each of its bands' buckets. Then, in
 every bucket that still holds several classes, all samples are compared in blocks, and each text is verified with the text of
-another class that it agrees with most; this is repeated while it finds links, and joins almost all copies with a number of
-comparisons in proportion to their number. Last, every pair of different classes in a bucket that agrees in enough samples is
+another class that it agrees with most, which joins almost all copies with a number of verified pairs in proportion to their
+number. Last, every pair of different classes in a bucket that agrees in enough samples is
 verified: the texts of two blocks with such pairs meet in one task, which returns what they connect, not the pairs.
 
 Equal texts form one class without being compared. Null texts and texts without words are classes of their own. A table
@@ -346,11 +346,11 @@ def tile_links(docs: DataFrame, tiled: DataFrame, weight_of: np.ndarray, least:
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
-def several_classes(members: DataFrame, of: DataFrame, unique: DataFrame) -> DataFrame:
-    """band, bucket, id, sig, size, class of all members of buckets that hold several classes."""
-    classed = members.select("band", "bucket", "id").join(of, "id", "left").withColumn("class", F.coalesce("component", "id"))
+def several_classes(members: DataFrame, of: DataFrame) -> DataFrame:
+    """band, bucket, id, class of all members of buckets that hold several classes."""
+    classed = members.select("band", "bucket", "id").join(of, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("class"))
     mixed = classed.groupBy("band", "bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band", "bucket")
-    return classed.join(mixed, ["band", "bucket"]).join(unique.select("id", "sig", "size"), "id").select("band", "bucket", "id", "sig", "size", "class")
+    return classed.join(mixed, ["band", "bucket"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -364,21 +364,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     buckets = unique.select("id", F.posexplode(bands).alias("band", "bucket"))
     hub = buckets.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = common.saved(buckets.join(hub, ["band", "bucket"]).select("band", "bucket", "id", "hub"), "members")
-    candidates = members.select(F.col("id").alias("doc_id")).distinct()
+    candidates = common.saved(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
     texts = common.saved(docs.join(candidates, "doc_id", "left_semi"), "texts")
     tried = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = common.saved(verified(texts, tried, weight_of, least), "links")
     of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-    while True:
-        more = common.saved(best_partners(several_classes(members, of, unique)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = common.saved(verified(texts, more, weight_of, least), "links")
-        if new.isEmpty():
-            break
-        tried, links = tried.unionByName(more), links.unionByName(new)
-        of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-    tiled = common.saved(tiles(several_classes(members, of, unique)), "tiles")
+    members = common.saved(several_classes(members, of), "members")
+    open_ = common.saved(members.select("id").distinct(), "open")
+    signed = common.saved(unique.join(open_, "id", "left_semi").select("id", "size", "sig"), "signed")
+    more = common.saved(best_partners(members.join(signed, "id")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.select("a", "b").unionByName(common.saved(verified(texts, more, weight_of, least), "links").select("a", "b"))
+    of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
+    tiled = common.saved(tiles(several_classes(members, of).join(signed, "id")), "tiles")
     last = common.saved(tile_links(texts, tiled, weight_of, least), "links")
-    of = common.saved(components(links.select("a", "b").unionByName(last)).withColumnRenamed("v", "id"), "classes")
+    of = common.saved(components(links.unionByName(last)).withColumnRenamed("v", "id"), "classes")
     known = unique.select("same", "id").join(of, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     worded = sigs.select("id", "same").join(known, "same").select("id", "class_id")
     alone = docs.select(F.col("doc_id").alias("id")).join(sigs.select("id"), "id", "left_anti").withColumn("class_id", F.col("id"))
