@@ -6,10 +6,12 @@ from factloom.functions.ranks import average_ranks, ordinal_ranks
 from factloom.model import Graph
 from factloom.operators import classifiers, constraints, detectors, evaluation, names, paths, reasoning, sampling, statistics
 from factloom.plans import paths as plan
+from factloom.plans.queries import QUERIES
 from factloom.sources import triples
 from factloom.streaming import scoring
 
 FACTS = [("bornIn", *x) for x in ("ac", "bd", "ec", "ab")] + [("knows", *x) for x in ("ab", "ba", "ae")]
+SMALL = "/root/testdata/sf0.001"
 TYPES = [("a", "P"), ("b", "P"), ("c", "C"), ("d", "C"), ("e", "P"), ("e", "A")]
 
 
@@ -176,6 +178,12 @@ def test_names(spark):
     assert rows(names.disambiguation_links(links, ents)) == [tuple(x) for x in ("ab", "ba", "cd", "dc")]
 
 
+def test_disambiguation_links_of_all_customers(spark):
+    c = spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    want = sorted((f"customer/{a}", f"customer/{b}") for a, n in c for b, m in c if n == m and a != b)
+    assert rows(QUERIES["disambiguation_links"](spark, SMALL)) == want
+
+
 def test_stream(g, spark, tmp_path):
     g.facts.coalesce(1).write.parquet(str(tmp_path / "in"))
     m = scoring.agreement_model(g.facts, g.types).cache()
