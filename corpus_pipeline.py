@@ -41,7 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=packing.added_tokens())
 
 
 STAGES = [

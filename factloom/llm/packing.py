@@ -12,8 +12,10 @@ are packed each for itself.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,30 @@ from .pretoken import rank_pieces
 SIZE, END, SALTS, ROUNDS = 1024, 2, 64, 300
 
 
-def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def added_tokens(name: str = "byte_bpe_50k.json") -> dict[str, int]:
+    """The added tokens of a tokenizers file, which tokenizers matches within texts even without adding special tokens."""
+    with open(vocabulary_path(name), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
+def ids_around(encode: Callable[[list[str]], list[bytes]], added: dict[str, int], texts: list[str]) -> list[bytes]:
+    """Each text's ids: those of its added tokens, and of what stands between them, encoded apart."""
+    if not added:
+        return encode(texts)
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    own = {t: np.array([k], "<u4").tobytes() for t, k in added.items()}
+    parts = [cut.split(x) for x in texts]
+    plain = iter(encode([p for x in parts for p in x[::2]]))
+    return [b"".join(own[p] if k % 2 else next(plain) for k, p in enumerate(x)) for x in parts]
+
+
+def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ids (binary). Only documents longer than a sequence are cut, from the end,
-    so that their first piece may be shorter. The rank file holds the vocabulary of byte_bpe_50k.json, whose ids these are;
-    special strings within texts are ordinary text."""
+    so that their first piece may be shorter. The rank file holds the vocabulary of byte_bpe_50k.json without its added tokens;
+    those given are matched within texts, other special strings are ordinary text."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +61,7 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text
         for batch in batches:
             for part in common.text_chunks(batch, "t", CHUNK):
                 rows, at, start, out = [], [], [], []
-                for i, ids in enumerate(encode.ids([x or "" for x in part.column("t").to_pylist()])):
+                for i, ids in enumerate(ids_around(encode.ids, added or {}, [x or "" for x in part.column("t").to_pylist()])):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % size or size, n, size), n]
@@ -195,11 +217,11 @@ def pack(lengths: DataFrame, key: list[str], size: int = SIZE) -> DataFrame:
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("salt", "rank")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """All pieces of docs with their places, without the ids."""
-    cut = pieces(docs, path or vocabulary_path()).drop("ids")
+    cut = pieces(docs, path or vocabulary_path(), added=added).drop("ids")
     return pack(common.saved(cut, "pieces"), ["doc_id", "piece", "start", "ids_crc32"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(common.table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(common.table(spark, sf_dir, "documents"), added=added_tokens()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

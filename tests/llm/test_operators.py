@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factloom.llm import bytebpe, chat, langid, lengths, packing, pretoken, secrets, topk, vectors
 
 PATH = bytebpe.vocabulary_path()
@@ -66,6 +67,21 @@ def test_packing_is_gapless_and_tight(spark):
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip(own["start"], own["length"], own["ids_crc32"], strict=True))
 
 
+def test_packed_ids_like_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bytebpe.vocabulary_path("byte_bpe_50k.json"))
+    texts = [*ODD, "ab <|endoftext|> cd", "<|endoftext|><|endoftext|>'s", "a <|endoftext| b", " <|endoftext|>\n\n x" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (packing.query(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        got = {(r.doc_id, r.start, r.length): r.ids_crc32 for r in out.collect()}
+        for i, t in enumerate(texts):
+            ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, packing.END], "<u4")
+            own = [(a, n, c) for (j, a, n), c in got.items() if j == i]
+            assert sum(n for _, n, _ in own) == len(ids) and all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in own)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_covers_each_piece_once(seed):
     rng = np.random.default_rng(seed)
