@@ -2,7 +2,8 @@
 
 A text's lower-cased words (runs of letters, digits and all characters beyond ASCII) give shingles of five words; a text with
 fewer words has one shingle of all of them. A shingle weighs its number of occurrences times the logarithm of documents over
-documents that hold it, counted over all documents in 2**18 hashed classes of shingles. Samples of the weighted sets are
+documents that hold it. Links are decided by exact numbers of documents; the samples that find candidates take those of
+2**18 hashed classes of shingles. Samples of the weighted sets are
 grouped into bands; texts that share a band are candidates, and pairs are linked where the weighted Jaccard similarity of the
 whole texts is at the threshold or above. Classes are the connected components of links.
 
@@ -34,6 +35,8 @@ from .components import components
 #: classes of shingles, least agreeing samples of a pair in the second step (a pair at 0.8 has fewer in 2 of 10,000 cases).
 WORDS, LEAST, BANDS, ROWS, CLASSES, AGREE, BLOCK = 5, 0.8, 10, 3, 18, 15, 512
 CHUNK, TILE = 1_000_000, 2_000_000
+#: (document, shingle) pairs whose documents are counted in one part.
+PART = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -133,6 +136,95 @@ def idf(frequency: np.ndarray, documents: int) -> np.ndarray:
     return np.log1p(documents / np.maximum(frequency, 1)).astype(np.float32)
 
 
+def _parts(value: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """part, start and end of the parts of sorted shingles, by their leading bits."""
+    edges = np.searchsorted(value >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return [(int(p), int(edges[p]), int(edges[p + 1])) for p in np.flatnonzero(np.diff(edges))]
+
+
+def shared_shingles(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
+    """part, v (shingles, ascending) and n (their documents): all shingles that two or more documents hold, counted exactly."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in common.text_chunks(batch, "t", CHUNK):
+                value, n = np.unique(shingles(chunk.column("t"))[1], return_counts=True)
+                n, at = n.astype("<u4"), _parts(value, bits)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in at], pa.int32()), pa.array([value[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in at], pa.binary())], ["part", "v", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in blocks.groups(batches, ["part"]):
+            value, n = (np.frombuffer(b"".join(g.column(c).to_pylist()), t) for c, t in (("v", "<u8"), ("n", "<u4")))
+            order = np.argsort(value, kind="stable")
+            value, n = value[order], n[order]
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            value, n = value[first], np.add.reduceat(n, first, dtype=np.uint32)
+            often = n > 1
+            yield pa.RecordBatch.from_arrays([g.column("part").slice(0, 1), pa.array([value[often].tobytes()], pa.binary()), pa.array([n[often].tobytes()], pa.binary())], ["part", "v", "n"])
+
+    kind = "part int, v binary, n binary"
+    return docs.select(F.col(text).alias("t")).mapInArrow(count, kind).repartition("part").sortWithinPartitions("part").mapInArrow(add, kind)
+
+
+def with_frequencies(texts: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    """doc_id, text and df: how many documents hold each of the text's shingles, in the order of shingles()."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.text_chunks(batch, "text", CHUNK):
+                ids, own = part.column("doc_id"), part.column("text")
+                bounds = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.slice(0, 1), pa.ListArray.from_arrays(bounds, pa.concat_arrays([ids])), pa.ListArray.from_arrays(bounds, pa.concat_arrays([own]).cast(pa.string()))], ["chunk", "ids", "texts"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                value = np.unique(shingles(batch.column("texts").slice(k, 1).flatten())[1])
+                at = _parts(value, bits)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in at], pa.int32()), batch.column("chunk").take(pa.array([k] * len(at), pa.int64())), pa.array([value[a:b].tobytes() for _, a, b in at], pa.binary()), pa.nulls(len(at), pa.binary())], ["part", "chunk", "v", "n"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in blocks.groups(batches, ["part"]):
+            known, n = np.zeros(0, "<u8"), np.zeros(0, "<u4")
+            asked, out = [], []
+            for k, (chunk, v, own) in enumerate(zip(*(g.column(c).to_pylist() for c in ("chunk", "v", "n")), strict=True)):
+                v = np.frombuffer(v, "<u8")
+                if chunk is None:  # sorted first
+                    known, n = v, np.frombuffer(own, "<u4")
+                    continue
+                got = np.ones(len(v), "<u4")
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                    hit = known[at] == v
+                    got[hit] = n[at[hit]]
+                asked.append(k)
+                out.append(got.tobytes())
+            at = pa.array(asked, pa.int64())
+            yield pa.RecordBatch.from_arrays([g.column("chunk").take(at), g.column("part").take(at), pa.array(out, pa.binary())], ["chunk", "part", "n"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, own = (batch.column(c).slice(k, 1).flatten() for c in ("ids", "texts"))
+                row, value, _ = shingles(own)
+                n = np.frombuffer(b"".join(batch.column("n").slice(k, 1).flatten().to_pylist()), "<u4")
+                n = n[np.searchsorted(np.unique(value), value)]
+                edge = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
+                yield pa.RecordBatch.from_arrays([ids, own, pa.array([n[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], ["doc_id", "text", "df"])
+
+    chunks = common.saved(texts.select("doc_id", "text").mapInArrow(gather, "chunk long, ids array<long>, texts array<string>"), "chunks")
+    asked = chunks.select("chunk", "texts").mapInArrow(ask, "part int, chunk long, v binary, n binary")
+    both = asked.unionByName(shared.select("part", F.lit(None).cast("long").alias("chunk"), "v", "n"))
+    answers = both.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(answer, "chunk long, part int, n binary")
+    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("x")).select("chunk", F.col("x.n").alias("n"))
+    return chunks.join(answers, "chunk").select("ids", "texts", "n").mapInArrow(spread, "doc_id long, text string, df binary")
+
+
+def weights(df: pa.Array, documents: int) -> np.ndarray:
+    """The weight of one occurrence of each shingle of all texts, from their column df."""
+    return idf(np.frombuffer(b"".join(df.to_pylist()), "<u4").astype(np.float64), documents).astype(np.float64)
+
+
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Quantiles of the Gamma(2, 1) distribution: r for 12 bits, ln c for 18 bits, by inverting its distribution function."""
@@ -195,20 +287,18 @@ def signatures(docs: DataFrame, weight_of: np.ndarray, key: str = "doc_id", text
     return rows.mapInArrow(run, "id long, same binary, size long, sig array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, weight_of: np.ndarray, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs a, b whose texts have a weighted Jaccard similarity of least or more, with it."""
-    held = docs.sparkSession.sparkContext.broadcast(weight_of)
+def verified(docs: DataFrame, pairs: DataFrame, documents: int, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs a, b whose texts, in docs with their df, have a weighted Jaccard similarity of least or more, with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
         for batch in batches:
             sizes = np.diff(common.byte_view(batch.column("ta"))[1]) + np.diff(common.byte_view(batch.column("tb"))[1])
             for lo, hi in common.row_chunks(sizes, CHUNK):
                 part = batch.slice(lo, hi - lo)
                 sides = []
-                for c in ("ta", "tb"):
+                for c, d in (("ta", "da"), ("tb", "db")):
                     row, value, n = shingles(part.column(c))
-                    sides.append((row, value, n * w[class_of(value)].astype(np.float64)))
+                    sides.append((row, value, n * weights(part.column(d), documents)))
                 row, value, weight = (np.concatenate(x) for x in zip(*sides, strict=True))
                 total = np.bincount(row, weight, minlength=part.num_rows)
                 order = np.lexsort((value, row))
@@ -219,10 +309,10 @@ def verified(docs: DataFrame, pairs: DataFrame, weight_of: np.ndarray, least: fl
                 keep = pa.array(np.flatnonzero(sim >= least - 1e-9))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(sim).take(keep)], ["a", "b", "similarity"])
 
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    two = one.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), "df")
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("df").alias("db")), "b")
+    two = one.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("df").alias("da")), "a")
+    return two.select("a", "b", "ta", "tb", "da", "db").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _agreement(g: pa.RecordBatch, agree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,9 +381,13 @@ def tiles(members: DataFrame, agree: int = AGREE) -> DataFrame:
 
 
 def shared_weight(row: np.ndarray, value: np.ndarray, count: np.ndarray, weight_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shared_by_weight, with the weights of hashed classes."""
+    return shared_by_weight(row, value, count, weight_of[class_of(value)].astype(np.float64), n)
+
+
+def shared_by_weight(row: np.ndarray, value: np.ndarray, count: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The weight of each of n rows, and what each two different rows share: the sum of the lesser weights of their shingles. The k-th
     occurrence of a shingle is an element of its own; frequent elements are counted by matrix products, others pair by pair."""
-    weight = weight_of[class_of(value)].astype(np.float64)
     total = np.bincount(row, count * weight, minlength=n)
     value, row, weight = (np.repeat(x, count) for x in (value, row, weight))
     nth = np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
@@ -323,26 +417,25 @@ def shared_weight(row: np.ndarray, value: np.ndarray, count: np.ndarray, weight_
     return total, out
 
 
-def tile_links(docs: DataFrame, tiled: DataFrame, weight_of: np.ndarray, least: float = LEAST) -> DataFrame:
+def tile_links(docs: DataFrame, tiled: DataFrame, documents: int, least: float = LEAST) -> DataFrame:
     """a, b: joins the members of a tile that links between different classes connect. All pairs of a tile are verified by
     their whole texts; a row for each member at most is returned, which connects what the links connect."""
-    weights = docs.sparkSession.sparkContext.broadcast(weight_of)  # 2**CLASSES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in blocks.groups(batches, ["tile"]):
             parts, base = [], 0
             for part in common.text_chunks(g, "text", CHUNK):
                 row, value, count = shingles(part.column("text"))
-                parts.append((row + base, value, count))
+                parts.append((row + base, value, count, weights(part.column("df"), documents)))
                 base += part.num_rows
-            total, both = shared_weight(*(np.concatenate(x) for x in zip(*parts, strict=True)), weights.value, base)
+            total, both = shared_by_weight(*(np.concatenate(x) for x in zip(*parts, strict=True)), base)
             cls, ids = g.column("class").to_numpy(), g.column("id").to_numpy()
             link = (both >= (least - 1e-9) * np.maximum(total[:, None] + total[None, :] - both, 1e-300)) & (cls[:, None] != cls[None, :])
             to = ids[blocks.local_components(link)]
             own = to != ids
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(to[own])], ["a", "b"])
 
-    rows = tiled.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("tile", "id", "class", "text")
+    rows = tiled.join(docs.select(F.col("doc_id").alias("id"), "text", "df"), "id").select("tile", "id", "class", "text", "df")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
@@ -356,7 +449,8 @@ def several_classes(members: DataFrame, of: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """key and class_id, the smallest id of the class."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    weight_of = idf(*frequencies(docs))
+    in_class, documents = frequencies(docs)
+    weight_of = idf(in_class, documents)
     sigs = common.saved(signatures(docs, weight_of), "signatures")
     first = F.min(F.struct("id", "size", "sig"))
     unique = common.saved(sigs.groupBy("same").agg(first.alias("f")).select("same", "f.id", "f.size", "f.sig"), "unique")
@@ -365,18 +459,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     hub = buckets.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = common.saved(buckets.join(hub, ["band", "bucket"]).select("band", "bucket", "id", "hub"), "members")
     candidates = common.saved(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    texts = common.saved(docs.join(candidates, "doc_id", "left_semi"), "texts")
+    bits = max(1, (int(in_class.sum(dtype=np.float64)) // PART).bit_length())
+    shared = common.saved(shared_shingles(docs, bits), "shared")
+    texts = common.saved(with_frequencies(docs.join(candidates, "doc_id", "left_semi"), shared, bits), "texts")
     tried = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = common.saved(verified(texts, tried, weight_of, least), "links")
+    links = common.saved(verified(texts, tried, documents, least), "links")
     of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
     members = common.saved(several_classes(members, of), "members")
     open_ = common.saved(members.select("id").distinct(), "open")
     signed = common.saved(unique.join(open_, "id", "left_semi").select("id", "size", "sig"), "signed")
     more = common.saved(best_partners(members.join(signed, "id")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.select("a", "b").unionByName(common.saved(verified(texts, more, weight_of, least), "links").select("a", "b"))
+    links = links.select("a", "b").unionByName(common.saved(verified(texts, more, documents, least), "links").select("a", "b"))
     of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
     tiled = common.saved(tiles(several_classes(members, of).join(signed, "id")), "tiles")
-    last = common.saved(tile_links(texts, tiled, weight_of, least), "links")
+    last = common.saved(tile_links(texts, tiled, documents, least), "links")
     of = common.saved(components(links.unionByName(last)).withColumnRenamed("v", "id"), "classes")
     known = unique.select("same", "id").join(of, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     worded = sigs.select("id", "same").join(known, "same").select("id", "class_id")

@@ -120,6 +120,27 @@ def test_last_step_alone_finds_all_classes(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == brute(texts, minhash.LEAST)
 
 
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 20_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    row, value, _ = minhash.shingles(pa.array(list(texts.values())))
+    n = Counter(value.tolist())
+    for bits in (1, 5):
+        out = minhash.with_frequencies(docs.filter("doc_id % 2 = 0"), minhash.shared_shingles(docs, bits), bits).collect()
+        got = {r.doc_id: np.frombuffer(r.df, "<u4").tolist() for r in out}
+        assert got == {i: [n[v] for v in value[row == k].tolist()] for k, i in enumerate(texts) if i % 2 == 0}
+
+
+def test_links_by_exact_frequencies(spark):
+    """With eight shingles in each hashed class, rare shingles would weigh too little and these texts would be linked."""
+    common = " ".join(f"c{i}" for i in range(289))
+    rows = [(k, f"{common} " + " ".join(f"r{k}x{i}" for i in range(15))) for k in range(30)]
+    rows += [(100 + k, " ".join(f"n{k}x{i}" for i in range(20_000))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert all(r.doc_id == r.class_id for r in minhash.near_duplicates(docs).collect())
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
