@@ -184,6 +184,11 @@ def test_disambiguation_links_of_all_customers(spark):
     assert rows(QUERIES["disambiguation_links"](spark, SMALL)) == want
 
 
+def test_name_suggestions_of_every_twentieth_part(spark):
+    keys = [r.p_partkey for r in spark.read.parquet(f"{SMALL}/part.parquet").select("p_partkey").collect()]
+    assert {r.q for r in QUERIES["name_suggestions"](spark, SMALL).collect()} == {k for k in keys if k % 20 == 0}
+
+
 def test_stream(g, spark, tmp_path):
     g.facts.coalesce(1).write.parquet(str(tmp_path / "in"))
     m = scoring.agreement_model(g.facts, g.types).cache()
