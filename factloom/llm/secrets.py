@@ -22,7 +22,9 @@ from . import common
 
 TREES, DEPTH, SEED, VOTES, MARK = 25, 6, 11, 0.5, "[SECRET]"
 _NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
-_RUN = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}"
+#: A run that is the name of an assignment is not a candidate; `=` belongs to a run as padding at its end only.
+_ASSIGNED = rf"[A-Za-z0-9+/_\-]*(?i:{_NAME})[A-Za-z0-9_\-]{{0,20}}[\"']?(?:=|\s{{0,3}}(?:=>|:=|:)\s{{0,3}}|\s{{1,3}}=\s{{0,3}})[\"']?[A-Za-z0-9+/_\-]"
+_RUN = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])(?!{_ASSIGNED})[A-Za-z0-9+/_\-]{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=\-]))?"
 #: What a text must hold for a closer look, and what a candidate is; cheap conditions on one character come first.
 GATE = rf"{_RUN}|(?=[:=])(?<=(?i:{_NAME})[\"']?\s{{0,3}})[:=]"
 CANDIDATE = rf"{_RUN}|(?<=[\s:=\"'])(?<=(?i:{_NAME})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"']{{8,}}"
@@ -59,10 +61,10 @@ FEATURES = {
 
 
 def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
-    """Findings with labels: candidate, left, right, path, label. Values come from digests of a counter, in the forms that
+    """Findings with labels: candidate, left, right, path, label, as the scanner splits whole texts. Values come from digests of a counter, in the forms that
     reviewers confirm (keys in assignments, in code, with known prefixes) and reject (checksums, ids, paths, fillers)."""
     h, i = "sha2(cast(id as string), 256)", "cast(id as int)"
-    b = f"translate(base64(unhex({h})), '+/=', '')"
+    b = f"overlay(translate(base64(unhex({h})), '+/=', '') placing '7' from 9 for 1)"
     name = "element_at(array('token', 'secret', 'api_key', 'password', 'auth_token', 'access-key', 'AUTH'), 1 + pmod(hash(id), 7))"
     kinds = [
         (f"substring({h}, 1, 40)", f"concat('set ', {name}, ' = \"')", "'\" and'", 1),
@@ -89,7 +91,9 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
     pick = lambda k: "CASE " + " ".join(f"WHEN k = {j} THEN {x[k]}" for j, x in enumerate(kinds)) + " END"
     path = "element_at(array('', 'src1', 'app/settings.yaml', 'tests/test_login.py', 'docs/readme', 'main.py'), 1 + pmod(hash(id, 5), 6))"
     rows = spark.range(0, n, 1, 1).selectExpr("id", f"cast(pmod(id, {len(kinds)}) as int) as k")
-    return rows.selectExpr(f"{pick(0)} as candidate", f"{pick(1)} as left", f"{pick(2)} as right", f"{path} as path", f"cast({pick(3)} as double) as label")
+    texts = rows.selectExpr("id", f"concat({pick(1)}, {pick(0)}, {pick(2)}) as t", f"{path} as p", f"cast({pick(3)} as double) as label")
+    found = texts.selectExpr("id", f"explode({_around('t', 'p')}) as z", "label").filter("z.c IS NOT NULL")
+    return found.selectExpr("z.c as candidate", "z.l as left", "z.r as right", "z.p as path", "label")
 
 
 def _tree_sql(lines: list[str]) -> str:
@@ -113,14 +117,19 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return "(" + " + ".join(votes) + f") / {float(len(votes))}D"
 
 
+def _around(t: str, p: str) -> str:
+    """SQL of an array of (g, c, l, r, p): each candidate c of a text, the gap g before it, its neighbours l and r, and the path."""
+    one = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
+    gaps = f"split({t}, '{one}')"
+    zipped = f"arrays_zip(regexp_extract_all({t}, '{one}', 0), {gaps}, slice({gaps}, 2, 2147483647))"
+    return f"transform({zipped}, z -> struct(z['1'] as g, z['0'] as c, right(z['1'], 80) as l, coalesce(left(z['2'], 40), '') as r, {p} as p))"
+
+
 def scored(df: DataFrame, text: str, path: str, votes: str) -> DataFrame:
     """Adds parts: array of (gap, candidate, score), the gap being what stands before a candidate since the last one; the last
     part has no candidate. Null where no candidate can be."""
     t, p = f"`{text}`", f"coalesce(`{path}`, '')"
-    one = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
-    gaps = f"split({t}, '{one}')"
-    zipped = f"arrays_zip(regexp_extract_all({t}, '{one}', 0), {gaps}, slice({gaps}, 2, 2147483647))"
-    around = f"transform({zipped}, z -> struct(z['1'] as g, z['0'] as c, right(z['1'], 80) as l, coalesce(left(z['2'], 40), '') as r, {p} as p))"
+    around = _around(t, p)
     features = ", ".join(f"cast({_over('z', e)} as double) as f{i}" for i, e in enumerate(FEATURES.values()))
     judged = f"transform({around}, z -> struct(z.g as g, z.c as c, CASE WHEN z.c IS NOT NULL THEN struct({features}) END as f))"
     score = f"transform({judged}, y -> struct(y.g as gap, y.c as candidate, CASE WHEN y.c IS NOT NULL THEN {votes.replace('f.f', 'y.f.f')} END as score))"

@@ -158,3 +158,13 @@ def test_secrets(spark):
     assert clean[0] is None and clean[2] == 'say token = "[SECRET]" end' and clean[3] == texts[3] and clean[5] == 'token = "[SECRET]" and token = "[SECRET]"'
     new = secrets.labelled_findings(spark, 4000).filter("candidate IS NOT NULL")
     assert secrets.scan(docs.limit(0), votes).count() == 0 and new.count() == 4000
+
+
+def test_secrets_in_plain_assignments(spark):
+    votes = secrets.train(secrets.labelled_findings(spark))
+    hexes, mixed = hashlib.sha1(b"y").hexdigest(), "Qm9yZWQx4kVtR7cXw2LpZs8NdUaYh3Tg"
+    texts = {f"token={hexes}": hexes, f"export AUTH_TOKEN={mixed}\n": mixed, f"get http://h/p?id=3&token={hexes}&x=1": hexes, f"MY_SECRET_TOKEN_2={hexes}": hexes, f"api_key={mixed}== end": mixed + "=="}
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = secrets.scan(docs, votes).collect()
+    assert sorted((r.doc_id, r.start, r.candidate) for r in found) == [(i, t.index(c), c) for i, (t, c) in enumerate(texts.items())]
+    assert all(r.is_secret for r in found if r.doc_id < 4), [(r.doc_id, r.score) for r in found]
