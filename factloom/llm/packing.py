@@ -2,9 +2,10 @@
 
 The lengths of all pieces form a histogram with as many bins as a sequence has tokens. A linear program over configurations
 (multisets of lengths that fit into a sequence) covers it: multiplicative weights give each length a price, knapsack dynamic
-programming finds the configuration of most worth, and what it covers gets cheaper. The solution is rounded down; the rest is
-packed best fit first, by counts. Pieces then find their places by their rank among pieces of their length, so the plan's size
-depends on the sequence length only, never on the number of documents.
+programming finds the configurations of most worth, and what they cover gets cheaper. The solution is rounded to whole numbers
+and the program solved again for what is left; the few pieces left in the end are packed best fit first, by counts. Pieces then
+find their places by their rank among pieces of their length, so the plan's size depends on the sequence length only, never on
+the number of documents. Full pieces are a sequence each and need no rank.
 
 Null text counts as empty: its document is the end token alone. A table without rows gives no rows. Rows that repeat a doc_id
 are packed each for itself.
@@ -16,6 +17,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,15 @@ from . import common
 from .bytebpe import CHUNK, vocabulary_path
 from .pretoken import rank_pieces
 
-#: Tokens in a sequence, the id that ends a document, parts that the pieces of one length are ranked in, weight updates.
-SIZE, END, SALTS, ROUNDS = 1024, 2, 64, 300
+#: Tokens in a sequence, the id that ends a document, pieces of one length that are ranked together (on average).
+SIZE, END, RANKED = 1024, 2, 1 << 14
+#: Weight updates of the first solution (a third for later ones), rate of the weights, how much more a token is worth in the
+#: longest piece than in the shortest, accepted distance of a column from the best one.
+ROUNDS, RATE, LONG, GAP = 60, 0.1, 0.1, 0.0005
+#: Solutions, first of them that use nearly full columns only, and the tokens that these may leave.
+SOLVES, STRICT, SLACK = 40, 4, 2
+
+Config = tuple[tuple[int, int], ...]
 
 
 def added_tokens(name: str = "byte_bpe_50k.json") -> dict[str, int]:
@@ -79,98 +88,130 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("k", key)
 
 
-def priced(price: np.ndarray, size: int) -> dict[int, int]:
-    """The multiset of lengths within size that is worth most (unbounded knapsack)."""
-    lengths = np.flatnonzero(price > 0)
-    best, took = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):
-        fit = lengths[: np.searchsorted(lengths, c, "right")]
-        best[c] = best[c - 1]
-        if len(fit):
-            worth = best[c - fit] + price[fit]
-            k = int(worth.argmax())
-            if worth[k] > best[c]:
-                best[c], took[c] = worth[k], fit[k]
-    out: dict[int, int] = {}
-    c = size
-    while c:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+def knapsack(price: np.ndarray, most: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounded knapsack by dynamic programming, for all capacities at once: the best worth within each capacity; the parts that
+    were offered (a length and how many of it, long ones first, so that ties leave the short ones); which part each capacity took."""
+    parts = []
+    for n in np.flatnonzero((price > 0) & (most > 0))[::-1].tolist():
+        left, k = min(int(most[n]), size // n), 1
+        while left > 0:
+            parts.append((n, min(k, left)))
+            left, k = left - k, 2 * k
+    best, took = np.zeros(size + 1), np.zeros((len(parts), size + 1), bool)
+    for i, (n, k) in enumerate(parts):
+        worth = best[: size + 1 - n * k] + price[n] * k
+        np.greater(worth, best[n * k :] * (1 + 1e-9), out=took[i, n * k :])
+        np.maximum(best[n * k :], worth, out=best[n * k :])
+    return best, np.array(parts, np.int64).reshape(-1, 2), took
+
+
+def fillings(parts: np.ndarray, took: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The best multiset within each capacity of room: a row for each, a column for each part."""
+    room, out = room.copy(), np.zeros((len(room), len(parts)), bool)
+    for i in range(len(parts) - 1, -1, -1):
+        out[:, i] = took[i][room]
+        room -= out[:, i] * parts[i, 0] * parts[i, 1]
     return out
 
 
-def fractional(count: np.ndarray, size: int, rounds: int = ROUNDS, step: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, from multiplicative weights on the lengths still to cover."""
+def fractional(count: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[dict[Config, float], float]:
+    """The linear program: how often each configuration is used, and a lower bound of its value, by multiplicative weights.
+
+    A length's price is its weight for each token; the weight shrinks by exp(-RATE) for each time that its pieces were covered.
+    In each round the knapsack gives the best configuration for every length that is not covered yet; those worth (1 - GAP) of
+    the best one of all are used, each as often as what is left of its lengths allows. Prices divided by the best worth are a
+    solution of the dual program, so they bound the number of sequences from below."""
     have = np.flatnonzero(count)
-    have = have[have < size]
-    if not len(have):
-        return []
-    covered, used = np.zeros(size + 1), []
-    for k in range(rounds):
-        share = covered[have] / count[have]
-        price = np.zeros(size + 1)
-        price[have] = np.exp(-step * len(have) * (share - share.min()) / max(share.mean(), 1e-9) / 20) / count[have] if k else 1 / count[have]
-        price[have] *= 0.01 + have / size  # a covered token is worth the same in any length
-        config = priced(price, size)
-        if not config:
+    bound = float(count @ np.arange(size + 1)) / size
+    covered, used = np.zeros(size + 1), {}
+    for _ in range(rounds):
+        live = have[covered[have] < count[have] - 1e-9]
+        if not len(live):
             break
-        times = min(count[n] / m for n, m in config.items()) / 4
-        for n, m in config.items():
-            covered[n] += m * times
-        used.append((config, times))
-    return used
-
-
-def plan(count: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of configurations that use every piece once. count: how many pieces have each length from 0 to size."""
-    rest, out = count.astype(np.int64).copy(), []
+        price = np.zeros(size + 1)
+        price[live] = live * (1 + LONG * live / size) * np.exp(-RATE * covered[live] / count[live])
+        best, parts, took = knapsack(price, count, size)
+        bound = max(bound, float(count @ price) / best[size])
+        worth = price[live] + best[size - live]
+        order = np.argsort(-worth, kind="stable")
+        seeds = live[order[worth[order] >= (1 - GAP) * best[size]]]
+        rest = count - covered
+        for seed, row in zip(seeds.tolist(), fillings(parts, took, size - seeds), strict=True):
+            config = {seed: 1}
+            for n, k in parts[row].tolist():
+                config[n] = config.get(n, 0) + k
+            times = min(rest[n] / k for n, k in config.items())
+            if times > 1e-9:
+                same = tuple(sorted(config.items(), reverse=True))
+                used[same] = used.get(same, 0.0) + times
+                for n, k in same:
+                    covered[n] += times * k
+                    rest[n] -= times * k
+    return used, bound
+
+
+@dataclass
+class Plan:
+    """Whole numbers of configurations; how many of the sequences are columns of the linear program, how many were filled best
+    fit first after it, and the bound that no packing can go below. Full pieces are not counted."""
+
+    configs: list[tuple[Config, int]]
+    columns: int
+    filled: int
+    bound: float
+
+
+def plan(count: np.ndarray, size: int = SIZE) -> Plan:
+    """Uses every piece once. count: how many pieces have each length from 0 to size.
+
+    The program's solution is rounded down where that leaves anything, else up for as long as pieces are left, then the program
+    is solved for the rest. In the first solutions only configurations that leave SLACK tokens at most are used. Pieces that are
+    left after SOLVES solutions are packed best fit first."""
+    rest, out, columns, bound = count.astype(np.int64).copy(), [], 0, 0.0
     if rest[size]:
-        out.append(({size: 1}, int(rest[size])))
+        out.append((((size, 1),), int(rest[size])))
         rest[size] = 0
-    used = fractional(rest.astype(float), size)
-    demand = np.zeros(size + 1)
-    for config, times in used:
-        for n, m in config.items():
-            demand[n] += m * times
-    scale = np.divide(rest, demand, out=np.ones(size + 1), where=demand > 0)
-    for config, times in used:
-        if sum(n * m for n, m in config.items()) < size:
-            continue  # the rest is packed better below
-        k = int(min([times * min(1.0, *(scale[n] for n in config)), *(rest[n] // m for n, m in config.items())]))
-        if k > 0:
-            out.append((config, k))
-            for n, m in config.items():
-                rest[n] -= k * m
+    for solve in range(SOLVES):
+        if not rest.any():
+            break
+        used, low = fractional(rest.astype(float), size, ROUNDS if not solve else ROUNDS // 3)
+        bound = bound or low
+        before = columns
+        for up in (False, True):
+            for config, times in sorted(used.items(), key=lambda z: -z[1]):
+                if solve < STRICT and sum(n * k for n, k in config) < size - SLACK:
+                    continue
+                k = min([1 if up else int(times + 1e-6), *(int(rest[n]) // m for n, m in config)])
+                if k > 0:
+                    out.append((config, k))
+                    columns += k
+                    for n, m in config:
+                        rest[n] -= k * m
+        if columns == before and solve >= STRICT:
+            break
+    filled = 0
     while (have := np.flatnonzero(rest)).size:
-        config, room = {int(have[-1]): 1}, size - int(have[-1])
-        while room:
-            free = have[(have <= room) & (rest[have] > np.array([config.get(int(n), 0) for n in have]))]
-            if not free.size:
-                break
-            whole = set(free.tolist())
-            pair = next((int(a) for a in free[::-1] if room == a or (room - int(a) in whole and (room != 2 * a or rest[a] > config.get(int(a), 0) + 1))), int(free[-1]))
-            config[pair] = config.get(pair, 0) + 1
-            room -= pair
-        k = int(min(rest[n] // m for n, m in config.items()))
-        out.append((config, k))
-        for n, m in config.items():
-            rest[n] -= k * m
-    return out
+        config, room = {}, size
+        while (fit := have[(have <= room) & (rest[have] > 0)]).size:
+            n = int(fit[-1])
+            config[n] = config.get(n, 0) + 1
+            rest[n] -= 1
+            room -= n
+        out.append((tuple(config.items()), 1))
+        filled += 1
+    return Plan(out, columns, filled, bound)
 
 
 class Places:
     """Where the piece of each rank among pieces of its length goes."""
 
-    def __init__(self, configs: list[tuple[dict[int, int], int]], size: int):
+    def __init__(self, configs: list[tuple[Config, int]], size: int):
         low: list[list[int]] = [[] for _ in range(size + 1)]
         rows: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
         seen, base = [0] * (size + 1), 0
         for config, times in configs:
             at = 0
-            for n, m in sorted(config.items(), reverse=True):
+            for n, m in config:
                 low[n].append(seen[n])
                 rows[n].append((base, m, at))
                 seen[n] += times * m
@@ -190,23 +231,33 @@ class Places:
 def pack(lengths: DataFrame, key: list[str], size: int = SIZE) -> DataFrame:
     """lengths: a saved table with key columns and length. Adds sequence_id and offset.
 
-    Ranks come from windows over a length and one of SALTS hashes of the key, so a length that most pieces have is spread; the
-    driver gets the counts by length and salt, size * SALTS rows at most."""
-    salted = lengths.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-    got = salted.groupBy("length", "salt").count().toPandas()
-    table = np.zeros((size + 1, SALTS), np.int64)
-    table[got["length"].to_numpy(np.int64), got["salt"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    before = np.cumsum(table, axis=1) - table
-    spark = lengths.sparkSession
-    held = spark.sparkContext.broadcast((before, Places(plan(table.sum(axis=1), size), size)))
+    Ranks come from windows over a length and a hash of the key, with one salt for each RANKED pieces of that length; the driver
+    gets the counts by length and salt, two rows for each length and one for each RANKED pieces at most. Full pieces get negative
+    numbers from their places in the table."""
+    got = lengths.groupBy("length").count().toPandas()
+    count = np.zeros(size + 1, np.int64)
+    count[got["length"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
+    made = plan(count, size)
+    salts = -(-count // RANKED)
+    of = F.element_at(F.lit(np.maximum(salts, 1)[1:].tolist()), F.col("length").cast("int"))
+    salted = lengths.filter(F.col("length") < size).withColumn("salt", F.pmod(F.xxhash64(*key), of))
+    first = np.cumsum(salts) - salts
+    before = np.zeros(int(salts.sum()) + 1, np.int64)
+    if len(many := np.flatnonzero(salts[:size] > 1)):
+        got = salted.filter(F.col("length").isin(many.tolist())).groupBy("length", "salt").count().toPandas()
+        before[first[got["length"].to_numpy(np.int64)] + got["salt"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
+        for n in many:
+            own = before[first[n] : first[n] + salts[n]]
+            own[:] = np.cumsum(own) - own
+    held = lengths.sparkSession.sparkContext.broadcast((first, before, Places(made.configs, size)))
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*key)).cast("long"))
     names = [*lengths.columns, "salt", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead, places = held.value
+        start, ahead, places = held.value
         for batch in batches:
             n, salt, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "salt", "rank"))
-            rank = rank - 1 + ahead[n, salt]
+            rank = rank - 1 + ahead[start[n] + salt]
             seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             order = np.argsort(n, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(n) else []:
@@ -214,7 +265,9 @@ def pack(lengths: DataFrame, key: list[str], size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("salt", "rank")
+    placed = ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("salt", "rank")
+    full = lengths.filter(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, added: dict[str, int] | None = None) -> DataFrame:

@@ -88,11 +88,67 @@ def test_plan_covers_each_piece_once(seed):
     count = rng.integers(0, 30, 101) * (rng.random(101) < 0.4)
     count[0] = 0
     got = np.zeros(101, int)
-    for config, k in packing.plan(count, 100):
-        assert k > 0 and sum(n * m for n, m in config.items()) <= 100
-        for n, m in config.items():
+    made = packing.plan(count, 100)
+    for config, k in made.configs:
+        assert k > 0 and sum(n * m for n, m in config) <= 100
+        for n, m in config:
             got[n] += m * k
     assert (got == count).all()
+    assert made.columns + made.filled + count[100] == sum(k for _, k in made.configs) >= made.bound
+
+
+def best_packing(sizes, size):
+    """The least number of sequences, by trying all ways."""
+    best = len(sizes)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                i = rooms.index(room)
+                go(k + 1, [*rooms[:i], room - sizes[k], *rooms[i + 1 :]])
+        go(k + 1, [*rooms, size - sizes[k]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_like_all_packings():
+    rng = np.random.default_rng(4)
+    ours = least = 0
+    for _ in range(25):
+        sizes = sorted(rng.integers(2, 20, rng.integers(1, 10)).tolist(), reverse=True)
+        made = packing.plan(np.bincount(sizes, minlength=21), 20)
+        n, best = sum(k for _, k in made.configs), best_packing(sizes, 20)
+        assert made.bound - 1e-9 <= best <= n <= best + 1
+        ours, least = ours + n, least + best
+    assert ours <= least * 1.04
+
+
+def test_linear_program_gives_the_sequences(spark):
+    """At least nine in ten sequences are columns of the program, and the number is within one in a hundred of its bound."""
+    hist = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH).groupBy("length").count().collect()
+    count = np.zeros(packing.SIZE + 1, np.int64)
+    for r in hist:
+        count[r["length"]] = r["count"]
+    made = packing.plan(count)
+    n = made.columns + made.filled
+    assert made.columns > 0.9 * n and n <= made.bound * 1.01 + 1
+
+
+def test_packing_of_hot_lengths_and_repeats(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    docs = spark.createDataFrame([(i % 40, "the same words " * (1 + i % 2), "x") for i in range(200)], "doc_id long, text string, length string").repartition(3)
+    out = packing.pack_documents(docs).toPandas()
+    assert len(out) == 200
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= packing.SIZE
+    assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
 def test_chat_folds_events(spark):
