@@ -1,17 +1,20 @@
-"""Exact removal of byte strings that also start earlier: content-sharded suffix arrays.
+"""Removal of byte strings that also start earlier: content-sharded suffix arrays.
 
 Every 100-byte window has an anchor, the 64-byte string within it whose hash is least, so equal windows have equal anchors.
 Windows whose anchor is unique are unique. The others go, with the segment of text that their run of windows covers, to the
-shard of their anchor. Equal segments are represented by the earliest; where an anchor has several different segments, their
-shard's suffix array is built by induced sorting, and permuted common prefixes of 100 bytes or more tell which windows are
-equal. The earliest start of each window stays, all bytes of the others go, judged on the input.
+shard of their anchor. Equal segments are represented by the earliest, found by two 64-bit hashes (of the anchor and of the
+segment); where an anchor has several different segments, their shard's suffix array is built by induced sorting, and permuted
+common prefixes of 100 bytes or more tell which windows are equal. The earliest start of each window stays, all bytes of the
+others go, judged on the input.
 
 Anchors so frequent that a sample of documents shows it are dealt by document instead of by anchor, and found to repeat for
-sure. Anchors with more than MOST different segments (a short common line in ever new surroundings) would fill a shard; their
-windows are compared one by one by two 64-bit hashes, with the same result.
+sure. Anchors with more than MOST different segments (a short common line in ever new surroundings) would fill more than a shard;
+their windows are compared one by one by two 64-bit hashes, with the same result. No bytes are compared outside of the suffix
+arrays: what two equal pairs of hashes say is taken to hold.
 
-Texts are UTF-8 bytes; null text counts as empty. Texts under 100 bytes stay whole. A table without rows gives no rows;
-further columns are ignored. doc_id is unique and not null.
+Texts are UTF-8 bytes; null text counts as empty. Texts under 100 bytes stay whole. Documents are ordered by doc_id, nulls last;
+rows with equal or no doc_id are documents of their own, in an order that is drawn once, so that of equal rows one stays whole. A
+table without rows gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .minhash import powers
 WINDOW, GRAM = 100, 64
 #: One document of SAMPLE is counted for frequent anchors, of which FREQUENT at most are told to the executors; the segments of
 #: an anchor that go to one shard, the bytes of a shard.
-SAMPLE, FREQUENT, MOST, SHARD = 16, 5000, 400, 1_000_000
+SAMPLE, FREQUENT, MOST, SHARD = 16, 5000, 7000, 1_000_000
 #: Bytes of a chunk, and bits that hold a place in one; the order of anchors must not depend on a chunk's size.
 CHUNK, PLACE = 1 << 20, 21
 _SECOND = 0xD6E8FEB86659FD93
@@ -99,23 +102,23 @@ def pieces(ids: np.ndarray, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def anchor_rows(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
-    """h, sg, doc, start, more, often for every run of windows of docs (doc_id, text)."""
+    """h, sg, doc, start, more, often for every run of windows of docs (_doc, text)."""
     held = None if frequent is None else docs.sparkSession.sparkContext.broadcast(np.sort(frequent))  # FREQUENT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64) if held is None else held.value
         for batch in batches:
-            for ids, base, data, off in pieces(batch.column("doc_id").to_numpy(), batch.column("text")):
+            for ids, base, data, off in pieces(batch.column("_doc").to_numpy(), batch.column("text")):
                 row, a, more, h, sg = anchors(data, off)
                 often = np.isin(h, known)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, sg, ids[row].astype(np.int64), a - off[row] + base[row], more.astype(np.int32), often)], ["h", "sg", "doc", "start", "more", "often"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, sg long, doc long, start long, more int, often boolean")
+    return docs.select("_doc", "text").mapInArrow(run, "h long, sg long, doc long, start long, more int, often boolean")
 
 
 def frequent_anchors(docs: DataFrame) -> np.ndarray:
     """The anchors that are most frequent in a sample of documents; they decide how rows are dealt, not what repeats."""
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    sample = docs.filter(F.pmod(F.xxhash64("_doc"), F.lit(SAMPLE)) == 0)
     top = anchor_rows(sample).groupBy("h").count().filter("count >= 12").orderBy(F.desc("count"), "h").limit(FREQUENT)
     return np.array([r["h"] for r in top.select("h").collect()], np.int64)
 
@@ -127,33 +130,43 @@ def repeated(rows: DataFrame) -> DataFrame:
     rows = rows.repartition(deal).sortWithinPartitions("h", "sg", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        # of the last anchor so far: its different segments that may still prove to be its only one, the last of them if they are
+        # known to be too many (then it is `sent` already), and how many are no longer held
+        held, sent, gone = None, 0, 0
 
-        def told(cols: list[np.ndarray]) -> pa.RecordBatch:
-            h, sg, doc, start, more, often = cols
-            new_h = np.ones(len(h), bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new_s = new_h.copy()
-            new_s[1:] |= sg[1:] != sg[:-1]
-            group = np.cumsum(new_h) - 1
-            several = np.bincount(group, new_s)[group] if len(h) else np.zeros(0)
-            kind = np.where(~new_s, WHOLE, np.where(several > MOST, ALONE, SHARED)).astype(np.int32)
-            keep = ~new_s | (several > 1)
-            kind[often], keep[often] = COMMON, True
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, h, sg, doc, start, more)], ["kind", "h", "sg", "doc", "start", "more"])
+        def rows_of(cols: list[np.ndarray], kind: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, *cols[:5])], ["kind", "h", "sg", "doc", "start", "more"])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            h, often = cols[0], cols[5]
-            cut = len(h)
-            if cut and not often[-1]:
-                cut = int(np.searchsorted(h, h[-1], "left"))
-            yield told([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        if held is not None:
-            yield told(held)
+            h, sg, often = cols[0], cols[1], cols[5]
+            if not len(h):
+                continue
+            new_h = np.ones(len(h), bool)
+            new_h[1:] = h[1:] != h[:-1]
+            new_s = new_h.copy()
+            new_s[1:] |= sg[1:] != sg[:-1]
+            group = np.cumsum(new_h) - 1
+            several = np.bincount(group, new_s).astype(np.int64)
+            several[0] += gone
+            many = several[group]
+            kind = np.where(~new_s, WHOLE, np.where(many > MOST, ALONE, SHARED)).astype(np.int32)
+            kind[often] = COMMON
+            keep = ~new_s | (many > 1) | often
+            last = (group == group[-1]) & new_s & ~often
+            if several[-1] <= MOST:
+                keep &= ~last
+            keep[:sent] = False
+            yield rows_of(cols, kind, keep)
+            at = np.flatnonzero(last)
+            sent = int(len(at) > 0 and several[-1] > MOST)
+            at = at[-1:] if sent else at
+            gone = int(several[-1]) - 1 if sent else 0
+            held = [c[at] for c in cols]
+        if held is not None and not sent and len(held[0]) > 1:
+            yield rows_of(held, np.full(len(held[0]), SHARED, np.int32), np.ones(len(held[0]), bool))
 
     return rows.mapInArrow(run, "kind int, h long, sg long, doc long, start long, more int")
 
@@ -161,7 +174,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The text of wanted runs (kind, h, doc, start, more). SHARED: h, k2 0, doc, start, more, seg. ALONE: each window by
     itself, with two hashes of it in h and k2."""
-    by_doc = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "more", "kind", "h")).alias("runs"))
+    by_doc = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "more", "kind", "h")).alias("runs"))
     names = ["kind", "h", "k2", "doc", "start", "more", "seg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +185,7 @@ def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(hi - lo), np.diff(runs.offsets.to_numpy()))
                 start, more, kind, h = (x.to_numpy() for x in runs.flatten().flatten())
                 data, off = common.byte_view(part.column("text"))
-                doc = part.column("doc_id").to_numpy()[of]
+                doc = part.column("_doc").to_numpy()[of]
                 s = np.flatnonzero(kind == SHARED)
                 raw = data.tobytes()
                 seg = [raw[a:b] for a, b in zip((off[of[s]] + start[s]).tolist(), (off[of[s]] + start[s] + more[s] + WINDOW).tolist(), strict=True)]
@@ -187,7 +200,7 @@ def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     one, two = (hashes.of(first, first + WINDOW, k).view(np.int64) for k in (0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(kind[row]), pa.array(one), pa.array(two), pa.array(doc[row]), pa.array(at), pa.array(np.zeros(len(row), np.int32)), pa.nulls(len(row), pa.binary())], names)
 
-    joined = docs.select("doc_id", "text").join(by_doc, "doc_id")
+    joined = docs.select("_doc", "text").join(by_doc, "_doc")
     return joined.mapInArrow(run, "kind int, h long, k2 long, doc long, start long, more int, seg binary")
 
 
@@ -243,8 +256,8 @@ def shared_spans(segs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc, lo, hi: byte ranges that cover all windows which start earlier too; they may overlap."""
-    docs = docs.select("doc_id", "text").filter(F.octet_length("text") >= WINDOW)
+    """doc, lo, hi: byte ranges that cover all windows of docs (_doc, text) which start earlier too; they may overlap."""
+    docs = docs.select("_doc", "text").filter(F.octet_length("text") >= WINDOW)
     runs = common.saved(repeated(anchor_rows(docs, frequent_anchors(docs))), "runs")
     often = runs.filter(F.col("kind") == COMMON)
     firsts = common.saved(often.groupBy("h", "sg").agg(F.min(F.struct("doc", "start", "more")).alias("f")), "firsts")
@@ -263,16 +276,31 @@ def spans(docs: DataFrame) -> DataFrame:
     return whole.unionByName(shared).unionByName(again)
 
 
+def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_doc, a number of its own for each row in the order of key, text, and all columns of docs as c0, c1, ...
+
+    Where keys are whole numbers without repeats and nulls, _doc is the key. Else rows are sorted by key and a random number, and
+    written with their number: a hot key is spread over many ranges."""
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own, t = F.col(f"c{docs.columns.index(key)}"), F.col(f"c{docs.columns.index(text)}").alias("text")
+    if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        if docs.select(F.col(f"`{key}`").alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1 OR k IS NULL").isEmpty():
+            return inner.select(own.cast("long").alias("_doc"), t, "*")
+    order = (own.asc_nulls_last(), F.col("_r"))
+    rows = inner.withColumn("_r", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return common.saved(rows.select(F.monotonically_increasing_id().alias("_doc"), t, *inner.columns), "numbered")
+
+
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with kept (binary, the remaining bytes), n_removed and n_spans (maximal removed runs) in place of text."""
-    by_doc = found.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
-    carried = [c for c in docs.columns if c != "text"]
-    names = [f"c{i}" for i in range(len(carried))]
+    """docs (_doc, text and others) with kept (binary, the remaining bytes), n_removed and n_spans (maximal removed runs) in place
+    of _doc and text."""
+    by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+    names = [c for c in docs.columns if c not in ("_doc", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.text_chunks(batch, "t", CHUNK):
-                data, off = common.byte_view(part.column("t"))
+            for part in common.text_chunks(batch, "text", CHUNK):
+                data, off = common.byte_view(part.column("text"))
                 cuts = part.column("cuts")
                 n = part.num_rows
                 of = np.repeat(np.arange(n), np.diff(cuts.offsets.to_numpy()))
@@ -292,19 +320,19 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept_off), pa.py_buffer(np.ascontiguousarray(data[~gone]))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), kept, pa.array(removed.astype(np.int64)), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], [*names, "kept", "n_removed", "n_spans"])
 
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(carried, names, strict=True)), F.col("text").alias("t"), F.col("doc_id").alias("d"))
-    rows = rows.join(by_doc, "d", "left").select(*names, "t", F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("cuts"))
-    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carried, names, strict=True))
-    out = rows.mapInArrow(run, f"{schema}, kept binary, n_removed long, n_spans long")
-    return out.toDF(*carried, "kept", "n_removed", "n_spans")
+    rows = docs.join(by_doc, "_doc", "left").select(*names, "text", F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("cuts"))
+    schema = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInArrow(run, f"{schema}, kept binary, n_removed long, n_spans long")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, kept, n_removed, n_spans of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    return remove(docs, common.saved(spans(docs), "spans"))
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs but text, with kept, n_removed, n_spans; columns of docs with these names give way to them."""
+    rows = numbered(docs, key, text)
+    spare = {f"c{i}" for i, c in enumerate(docs.columns) if c in (text, "kept", "n_removed", "n_spans")}
+    out = remove(rows.drop(*spare), common.saved(spans(rows), "spans"))
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(docs.columns)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(common.table(spark, sf_dir, "documents"))
+    out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
