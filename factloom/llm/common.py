@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+#: Tables saved within the innermost scratch(): tag and path.
+_TABLES: ContextVar[list[tuple[str, str]] | None] = ContextVar("tables", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +39,44 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append((tag, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes the tables that are saved within in the end, but those with a tag in keep, which an outer scratch() gets."""
+    own: list[tuple[str, str]] = []
+    outer = _TABLES.get()
+    token = _TABLES.set(own)
+    try:
+        yield
+    finally:
+        _TABLES.reset(token)
+        for tag, path in own:
+            if tag not in keep:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            elif outer is not None:
+                outer.append((tag, path))
+
+
+def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """_doc, a number of its own for each row in the order of key, and all columns of docs as c0, c1, ...; and if _doc is the key.
+
+    It is where keys are whole numbers without repeats and nulls. Else rows are sorted by key, nulls last, and by a random number,
+    and written with their number: a hot key is spread over many ranges."""
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own = F.col(f"c{docs.columns.index(key)}")
+    if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        if inner.groupBy(own.alias("k")).agg(F.count("*").alias("n")).filter("n > 1 OR k IS NULL").isEmpty():
+            return inner.select(own.cast("long").alias("_doc"), "*"), True
+    order = (own.asc_nulls_last(), F.col("_r"))
+    rows = inner.withColumn("_r", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return saved(rows.select(F.monotonically_increasing_id().alias("_doc"), *inner.columns), "numbered"), False
+
+
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     col = col.cast(pa.large_string())

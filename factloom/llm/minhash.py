@@ -14,7 +14,7 @@ number. Last, every pair of different classes in a bucket that agrees in enough
 verified: the texts of two blocks with such pairs meet in one task, which returns what they connect, not the pairs.
 
 Equal texts form one class without being compared. Null texts and texts without words are classes of their own. A table
-without rows gives no rows; further columns are ignored.
+without rows gives no rows; further columns are ignored. Rows that repeat an id are documents of their own, as are rows without.
 """
 
 from __future__ import annotations
@@ -447,38 +447,46 @@ def several_classes(members: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """key and class_id, the smallest id of the class."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    in_class, documents = frequencies(docs)
-    weight_of = idf(in_class, documents)
-    sigs = common.saved(signatures(docs, weight_of), "signatures")
-    first = F.min(F.struct("id", "size", "sig"))
-    unique = common.saved(sigs.groupBy("same").agg(first.alias("f")).select("same", "f.id", "f.size", "f.sig"), "unique")
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * ROWS + k] for k in range(ROWS))) for b in range(BANDS)))
-    buckets = unique.select("id", F.posexplode(bands).alias("band", "bucket"))
-    hub = buckets.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = common.saved(buckets.join(hub, ["band", "bucket"]).select("band", "bucket", "id", "hub"), "members")
-    candidates = common.saved(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    bits = max(1, (int(in_class.sum(dtype=np.float64)) // PART).bit_length())
-    shared = common.saved(shared_shingles(docs, bits), "shared")
-    texts = common.saved(with_frequencies(docs.join(candidates, "doc_id", "left_semi"), shared, bits), "texts")
-    tried = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = common.saved(verified(texts, tried, documents, least), "links")
-    of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-    members = common.saved(several_classes(members, of), "members")
-    open_ = common.saved(members.select("id").distinct(), "open")
-    signed = common.saved(unique.join(open_, "id", "left_semi").select("id", "size", "sig"), "signed")
-    more = common.saved(best_partners(members.join(signed, "id")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.select("a", "b").unionByName(common.saved(verified(texts, more, documents, least), "links").select("a", "b"))
-    of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
-    tiled = common.saved(tiles(several_classes(members, of).join(signed, "id")), "tiles")
-    last = common.saved(tile_links(texts, tiled, documents, least), "links")
-    of = common.saved(components(links.unionByName(last)).withColumnRenamed("v", "id"), "classes")
+    """key, class_id (the smallest key of the class) and kept (true for one row of each class, which has that key), for every row.
+    Rows with equal or no keys are documents of their own; the class of rows without a key is null, and one of them is kept."""
+    rows, plain = common.numbered(docs.select(key, text), key)
+    docs = rows.select(F.col("_doc").alias("doc_id"), F.col("c1").alias("text"))
+    with common.scratch(docs.sparkSession, "signatures", "unique", "all_classes"):
+        in_class, documents = frequencies(docs)
+        weight_of = idf(in_class, documents)
+        sigs = common.saved(signatures(docs, weight_of), "signatures")
+        first = F.min(F.struct("id", "size", "sig"))
+        unique = common.saved(sigs.groupBy("same").agg(first.alias("f")).select("same", "f.id", "f.size", "f.sig"), "unique")
+        bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * ROWS + k] for k in range(ROWS))) for b in range(BANDS)))
+        buckets = unique.select("id", F.posexplode(bands).alias("band", "bucket"))
+        hub = buckets.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+        members = common.saved(buckets.join(hub, ["band", "bucket"]).select("band", "bucket", "id", "hub"), "members")
+        candidates = common.saved(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
+        bits = max(1, (int(in_class.sum(dtype=np.float64)) // PART).bit_length())
+        shared = common.saved(shared_shingles(docs, bits), "shared")
+        texts = common.saved(with_frequencies(docs.join(candidates, "doc_id", "left_semi"), shared, bits), "texts")
+        tried = common.saved(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        links = common.saved(verified(texts, tried, documents, least), "links")
+        of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
+        members = common.saved(several_classes(members, of), "members")
+        open_ = common.saved(members.select("id").distinct(), "open")
+        signed = common.saved(unique.join(open_, "id", "left_semi").select("id", "size", "sig"), "signed")
+        more = common.saved(best_partners(members.join(signed, "id")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.select("a", "b").unionByName(common.saved(verified(texts, more, documents, least), "links").select("a", "b"))
+        of = common.saved(components(links).withColumnRenamed("v", "id"), "classes")
+        tiled = common.saved(tiles(several_classes(members, of).join(signed, "id")), "tiles")
+        last = common.saved(tile_links(texts, tiled, documents, least), "links")
+        of = common.saved(components(links.unionByName(last)).withColumnRenamed("v", "id"), "all_classes")
     known = unique.select("same", "id").join(of, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     worded = sigs.select("id", "same").join(known, "same").select("id", "class_id")
     alone = docs.select(F.col("doc_id").alias("id")).join(sigs.select("id"), "id", "left_anti").withColumn("class_id", F.col("id"))
-    return worded.unionByName(alone).withColumnRenamed("id", key)
+    out = worded.unionByName(alone).withColumn("kept", F.col("id") == F.col("class_id"))
+    if not plain:
+        keys = rows.select(F.col("_doc").alias("id"), F.col("c0").alias(key))
+        first = keys.select(F.col("id").alias("class_id"), F.col(key).alias("first"))
+        return out.join(first, "class_id").join(keys, "id").select(key, F.col("first").alias("class_id"), "kept")
+    return out.select(F.col("id").cast(rows.schema["c0"].dataType).alias(key), F.col("class_id").cast(rows.schema["c0"].dataType), "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -276,21 +276,6 @@ def spans(docs: DataFrame) -> DataFrame:
     return whole.unionByName(shared).unionByName(again)
 
 
-def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_doc, a number of its own for each row in the order of key, text, and all columns of docs as c0, c1, ...
-
-    Where keys are whole numbers without repeats and nulls, _doc is the key. Else rows are sorted by key and a random number, and
-    written with their number: a hot key is spread over many ranges."""
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    own, t = F.col(f"c{docs.columns.index(key)}"), F.col(f"c{docs.columns.index(text)}").alias("text")
-    if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
-        if docs.select(F.col(f"`{key}`").alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1 OR k IS NULL").isEmpty():
-            return inner.select(own.cast("long").alias("_doc"), t, "*")
-    order = (own.asc_nulls_last(), F.col("_r"))
-    rows = inner.withColumn("_r", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
-    return common.saved(rows.select(F.monotonically_increasing_id().alias("_doc"), t, *inner.columns), "numbered")
-
-
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (_doc, text and others) with kept (binary, the remaining bytes), n_removed and n_spans (maximal removed runs) in place
     of _doc and text."""
@@ -327,9 +312,11 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs but text, with kept, n_removed, n_spans; columns of docs with these names give way to them."""
-    rows = numbered(docs, key, text)
-    spare = {f"c{i}" for i, c in enumerate(docs.columns) if c in (text, "kept", "n_removed", "n_spans")}
-    out = remove(rows.drop(*spare), common.saved(spans(rows), "spans"))
+    rows = common.numbered(docs, key)[0].withColumnRenamed(f"c{docs.columns.index(text)}", "text")
+    spare = {f"c{i}" for i, c in enumerate(docs.columns) if c in ("kept", "n_removed", "n_spans")}
+    with common.scratch(docs.sparkSession, "spans"):
+        found = common.saved(spans(rows), "spans")
+    out = remove(rows.drop(*spare), found)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(docs.columns)})
 
 

@@ -141,6 +141,14 @@ def test_links_by_exact_frequencies(spark):
     assert all(r.doc_id == r.class_id for r in minhash.near_duplicates(docs).collect())
 
 
+def test_repeated_rows_and_null_ids(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    rows = [(5, a), (5, a), (5, b), (None, a + " end"), (None, b + " of it"), (None, "c d e f g h"), (None, "c d e f g h"), (7, None), (7, None), (3, b)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, class_id string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == {(5, 5, True): 1, (5, 5, False): 1, (5, 3, False): 1, (None, 5, False): 1, (None, 3, False): 1, (None, None, True): 1, (None, None, False): 1, (7, 7, True): 2, (3, 3, True): 1}
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -189,6 +190,32 @@ def test_vectors_like_brute_force(spark):
         assert got[i] == (len(near.get(i, ())), min(seen), min(seen) == i)
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    a, b = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5]
+    rows = [(4, a, 1), (4, b, 1), (None, a, 1), (None, [0.0, 1.0, 0.0], 1), (9, b, 1), (9, b, 1), (2, a, 2), (None, None, 1)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, label int, rep string")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert len(rows) == sum(got.values()) and sum(n for r, n in got.items() if r[3]) == 5
+    assert got[None, 1, 4, False] == 1 and got[None, 0, None, True] == 2 and got[2, 0, 2, True] == 1
+    assert sum(n for r, n in got.items() if r[:3] == (9, 2, 4)) == 2 and got[4, 1, 4, True] == got[4, 2, 4, True] == 1
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 1 << 20])
+def test_vector_recall(n):
+    """Pairs of cosine 0.98 meet in some table, at the sizes that labels have."""
+    tables, bits = vectors.tables_for(n)
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((4000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + (1 - 0.98**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    planes = np.random.default_rng([vectors.SEED, 48]).standard_normal((48, tables * bits))
+    same = ((x @ planes > 0) == (y @ planes > 0)).reshape(len(x), tables, bits).all(axis=2).any(axis=1)
+    assert same.mean() > 0.995
+
+
 def test_topk_like_brute_force(spark):
     rng = random.Random(2)
     codes = [(i, rng.getrandbits(64) - 2**63) for i in range(150)] + [(i, 77) for i in range(200, 220)] + [(300, None)]
