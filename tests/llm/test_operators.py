@@ -152,15 +152,40 @@ def test_packing_of_hot_lengths_and_repeats(spark, monkeypatch, tmp_path):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def read_turns(rendered):
+    got = {}
+    for r in sorted(chat.read_back(rendered).collect(), key=lambda r: r.at):
+        turns, masked = got.setdefault(r.conv_id, ([], []))
+        turns.append((r.role, r.text))
+        masked += [r.text] * r.under_mask
+    return got
+
+
 def test_chat_folds_events(spark):
     rows = [(1, 0, 0, "message", "user", "hi <|end|> %3C [x]"), (1, 1, 1, "message", "assistant", "a"), (1, 1, 2, "delta", "assistant", "b"), (1, 1, 3, "regenerate", "assistant", None), (1, 1, 4, "delta", "assistant", "c"), (1, 1, 5, "delta", "assistant", "d"), (1, 2, 6, "message", "user", "old"), (1, 2, 7, "edit", "user", "new"), (2, None, 0, None, None, None), (3, 0, 0, "message", "assistant", "same"), (3, 0, 0, "message", "assistant", "same")]
-    log = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
-    out = chat.render(chat.fold(log)).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("target", chat.loss_text(F.col("formatted"), F.col("loss")))
-    got = {r.conv_id: ([tuple(t) for t in r.turns], r.target) for r in out.collect()}
-    assert got == {1: ([("user", "hi <|end|> %3C [x]"), ("assistant", "cd"), ("user", "new")], "cd"), 2: ([("", "")], ""), 3: ([("assistant", "same")] * 2, "samesame")}
+    rows += [(4, 0, 5, "message", "assistant", "x"), (4, 0, 6, "edit", None, "y"), (4, 0, 7, "delta", None, "z"), (4, 0, 8, "message", "user", "u"), (4, 0, 9, "delta", None, "v"), (4, 1, 10, "delta", "tool", "t"), (4, 1, 11, "delta", None, "w"), (None, 0, 0, "message", "assistant", "")]
+    log = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, seq long, kind string, role string, text string, part string").repartition(3)
+    got = read_turns(chat.render(chat.fold(log)))
+    assert got == {1: ([("user", "hi <|end|> %3C [x]"), ("assistant", "cd"), ("user", "new")], ["cd"]), 2: ([("", "")], []), 3: ([("assistant", "same")] * 2, ["same"] * 2), 4: ([("assistant", "yz"), ("user", "uv"), ("tool", "tw")], ["yz"]), None: ([("assistant", "")], [""])}
     assert chat.render(chat.fold(log.limit(0))).count() == 0
 
 
+def test_chat_log_folds_back_to_its_rows(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([0, 1, 2, 3, None]), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a\nb" * rng.randint(0, 90), "<|end|>[%3C" * 9, "é" * 200])) for _ in range(80)]
+    rows += [(9, k, "assistant", f"{k} " * (k % 200)) for k in range(600)] + [(1, 0, "user", "twice")] * 2
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, seq string").repartition(3)
+    kinds = {r.kind: r.n for r in chat.events_of(df).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["message"] == len(rows) and min(kinds["delta"], kinds["edit"], kinds["regenerate"]) > 20
+    got = read_turns(chat.render(chat.fold(chat.events_of(df))))
+    clean = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=lambda z: (z[1] is not None, z[1] or 0, z[2], z[3]))
+    for c in {r[0] for r in rows}:
+        own = [z for z in clean if z[0] == c]
+        assert got[c] == ([(r, x) for _, _, r, x in own], [x for _, _, r, x in own if r == "assistant"])
+    df.limit(0).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in chat.query(spark, str(tmp_path)).collect()] == [(-7, 2, 21)]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.predict(docs, langid.train(docs.filter(~langid.held_out()))).filter(langid.held_out())
