@@ -1,41 +1,55 @@
-"""Ranks and running sums over whole tables, without a task that sees all rows."""
+"""Ranks and running sums over whole tables, without a task that sees all rows.
+
+Rows are sorted by range partitions and written with their number in their partition; the sums of the partitions, one row each,
+are added up and joined back. Ranges are cut by all columns of the order, so that many rows of one value are spread as well."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS = 64
+from .saved import saved
+
+#: A row's number is its partition's times 2**PLACE, plus its place there.
+PLACE = 33
+
+
+def _sorted(df: DataFrame, by: list) -> DataFrame:
+    """A table of df in ascending order, nulls last, with _m (ascending) and _part."""
+    order = [F.col(c).asc_nulls_last() for c in by]
+    rows = saved(df, "unsorted").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return saved(rows, "sorted").withColumn("_part", F.shiftright("_m", PLACE))
 
 
-def banded(df: DataFrame, order: str, bands: int = BANDS) -> DataFrame:
-    """df with _band: the number of cuts below the order column. Cuts are approximate quantiles; any cuts give right sums."""
-    cuts = sorted(set(df.approxQuantile(order, [k / bands for k in range(1, bands)], 0.01)))
-    return df.withColumn("_band", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(order))))
+def _before(sums: DataFrame, values: list[str]) -> DataFrame:
+    """_part and, for each value, what the partitions before it and all partitions hold. A row for each partition."""
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.broadcast(sums.select("_part", *(F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_b_{v}") for v in values), *(F.sum(v).over(every).alias(f"all_{v}") for v in values)))
 
 
 def running_sums(df: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """df (one row for each value of order) with cum_<value>: sums up to and with each row in ascending order, and all_<value>."""
-    df = banded(df, order)
-    total = df.groupBy("_band").agg(*(F.sum(v).alias(v) for v in values))
-    before, every = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = total.select("_band", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_b_{v}") for v in values), *(F.sum(v).over(every).alias(f"all_{v}") for v in values))
-    inside = Window.partitionBy("_band").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.join(F.broadcast(total), "_band")  # BANDS rows
-    return out.select(*(c for c in df.columns if c != "_band"), *((F.sum(v).over(inside) + F.col(f"_b_{v}")).alias(f"cum_{v}") for v in values), *(f"all_{v}" for v in values))
+    """df (one row for each value of order) with cum_<value>: sums up to and with each row in ascending order, nulls last, and
+    all_<value>."""
+    rows = _sorted(df, [order])
+    before = _before(rows.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values)), values)
+    inside = Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(before, "_part")
+    return out.select(*df.columns, *((F.sum(v).over(inside) + F.col(f"_b_{v}")).alias(f"cum_{v}") for v in values), *(f"all_{v}" for v in values))
 
 
 def average_ranks(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
-    """df with the mean rank of equal values, ascending from 1. Counts by value are summed, then joined back."""
+    """df with the mean rank of equal values, ascending from 1; nulls are equal and come last. Counts by value are summed, then
+    joined back."""
+    df = saved(df, "values")
     n = running_sums(df.groupBy(order).agg(F.count("*").alias("n")), order, ["n"])
-    rank = n.select(order, (F.col("cum_n") - (F.col("n") - 1) / 2).alias(name))
-    return df.join(rank, order)
+    rank = n.select(F.col(order).alias("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2).alias(name))
+    return df.join(rank, F.col(order).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def ordinal_ranks(df: DataFrame, order: str, ties: list[str], name: str = "rank") -> DataFrame:
-    """df with row numbers from 1 by order and, among equals, by the columns of ties."""
-    df = banded(df, order)
-    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    size = df.groupBy("_band").count().select("_band", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))
-    own = F.row_number().over(Window.partitionBy("_band").orderBy(order, *ties))
-    return df.withColumn("_own", own).join(F.broadcast(size), "_band").withColumn(name, (F.col("_own") + F.col("_b")).cast("long")).drop("_band", "_own", "_b")
+    """df with row numbers from 1 by order, nulls last, and, among equals, by the columns of ties."""
+    rows = _sorted(df, [order, *ties])
+    before = _before(rows.groupBy("_part").agg(F.count("*").alias("n")), ["n"])
+    place = F.col("_m").bitwiseAND(F.lit((1 << PLACE) - 1))
+    return rows.join(before, "_part").select(*df.columns, (F.col("_b_n") + place + 1).alias(name))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs that a composed path may have at most, and how many times as many rows its join may have.
+MOST_PAIRS, GROWTH = 10_000_000, 100
+
 
 def step(facts: DataFrame, relation: str) -> DataFrame:
     """s, o of a relation; ^ before its name swaps the ends."""
@@ -36,6 +39,44 @@ def support(facts: DataFrame, paths: list[list[str]], least: float, most: int =
     return reduce(DataFrame.unionByName, counts).filter((F.col("n") > 0) & (F.col("n") >= least) & (F.col("n") < most))
 
 
+def of_size(facts: DataFrame, paths: list[tuple[str, ...]], least: float, most: int) -> list[tuple[str, ...]]:
+    """The paths whose number of distinct pairs is positive, at least `least`, and below `most`. A path whose last join would have
+    more rows than GROWTH times `most` is not built: with at most `most` pairs, each would be met that often."""
+    out = []
+    for path in paths:
+        before = pairs(facts, list(path[:-1])) if len(path) > 2 else step(facts, path[0])
+        into = before.groupBy("o").agg(F.count("*").alias("a"))
+        then = step(facts, path[-1]).groupBy(F.col("s").alias("o")).agg(F.count("*").alias("b"))
+        bound = into.join(then, "o").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
+        if 0 < bound < GROWTH * most and bound >= least:
+            n = bound if bound < least else pairs(facts, list(path)).count()
+            if 0 < n < most and n >= least:
+                out.append(path)
+    return out
+
+
+def followed(wanted: DataFrame, facts: DataFrame, paths: dict[str, list[tuple[str, ...]]]) -> DataFrame:
+    """p, s, o, feature: the paths of its relation that connect each wanted (p, s, o). paths: for each relation.
+
+    All paths are followed at once: a table of path steps is joined with the frontier (p, s, o, path, m) and then with facts and
+    their inverses, one join for each depth, whatever the number of paths. The last step has to meet the object."""
+    spark = facts.sparkSession
+    steps = [(p, "path:" + "/".join(path), k, r.removeprefix("^"), r.startswith("^"), k == len(path) - 1) for p, own in paths.items() for path in own for k, r in enumerate(path)]
+    depth = max(k for *_, k, _, _, _ in steps) + 1
+    plan = spark.createDataFrame([(str(p), f, k, str(r), i, z) for p, f, k, r, i, z in steps], "p string, feature string, k int, r string, back boolean, ends boolean")
+    both = facts.select(F.col("p").alias("r"), F.lit(False).alias("back"), F.col("s").alias("m"), F.col("o").alias("x")).unionByName(facts.select(F.col("p").alias("r"), F.lit(True).alias("back"), F.col("o").alias("m"), F.col("s").alias("x")))
+    both = both.join(F.broadcast(plan.select("r", "back").distinct()), ["r", "back"], "left_semi")  # a row for each relation
+    at = wanted.join(plan.filter("k = 0"), "p").withColumn("m", F.col("s"))
+    out = []
+    for k in range(depth):
+        met = at.filter("ends").join(both.select("r", "back", "m", F.col("x").alias("o")), ["r", "back", "m", "o"], "left_semi")
+        out.append(met.select("p", "s", "o", "feature").distinct())
+        if k < depth - 1:
+            on = at.filter("NOT ends").join(both, ["r", "back", "m"]).select("p", "s", "o", "feature", F.col("x").alias("m")).distinct()
+            at = on.join(plan.filter(F.col("k") == k + 1), ["p", "feature"])
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
 def relevance(facts: DataFrame) -> DataFrame:
     """p1, r, and the measures of how well r follows p1: with I = objects of p1 that are subjects of r, inter |I|, mult the
     product of their numbers of facts, m1 |I| / (|S(p1) and O(r)| + 1), m2 |I| * |S(p1) or O(r)|. Only pairs with an overlap.

@@ -71,7 +71,7 @@ def type_distribution(facts: DataFrame, types: DataFrame, end: str = "o") -> Dat
 def _distribution(counts: DataFrame) -> DataFrame:
     n = counts.select("p", F.explode_outer("ts").alias("t"), "n")
     total = counts.agg(F.sum("n").alias("total"))
-    return n.filter("t IS NOT NULL").groupBy("p", "t").agg(F.sum("n").alias("n")).join(F.broadcast(total), F.col("n") <= F.col("total")).select("p", "t", (F.col("n") / F.col("total")).alias("w"))
+    return n.filter("t IS NOT NULL").groupBy("p", "t").agg(F.sum("n").alias("n")).join(F.broadcast(total), F.col("n") <= F.col("total")).select("p", "t", (F.col("n") / F.col("total")).alias("w"))  # total is one row
 
 
 def relative_predicate_frequency(facts: DataFrame) -> DataFrame:
@@ -80,17 +80,26 @@ def relative_predicate_frequency(facts: DataFrame) -> DataFrame:
     return n.select("p", "o", (F.col("n") / F.sum("n").over(Window.partitionBy("o"))).alias("rpf"))
 
 
-def type_agreement(facts: DataFrame, types: DataFrame) -> DataFrame:
-    """p, s, o, score: the cosine of the object's types with the distribution of object types of p (0 if either is zero)."""
-    f = by_type_set(facts, types)
-    counts = f.groupBy("p", "ts").agg(F.count("*").alias("n"))
-    w = _distribution(counts)
+def agreement(pairs: DataFrame, types: DataFrame, w: DataFrame) -> DataFrame:
+    """p, s, o, score of pairs: the cosine of the object's types with the weights w (p, t, w) of its relation, 0 if either is zero.
+    It is computed for the few distinct (p, types)."""
+    return _agreement(by_type_set(pairs, types), w)
+
+
+def _agreement(f: DataFrame, w: DataFrame) -> DataFrame:
     norm = w.groupBy("p").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hit = counts.select("p", "ts", F.explode("ts").alias("t")).join(w, ["p", "t"]).groupBy("p", "ts").agg(F.sum("w").alias("hit"))
+    kinds = f.select("p", "ts").distinct()
+    hit = kinds.select("p", "ts", F.explode("ts").alias("t")).join(w, ["p", "t"]).groupBy("p", "ts").agg(F.sum("w").alias("hit"))
     score = hit.join(norm, "p").select("p", "ts", F.round(F.try_divide("hit", F.sqrt(F.size("ts")) * F.col("norm")), 9).alias("score"))
     return f.join(score, ["p", "ts"], "left").select("p", "s", "o", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def type_agreement(facts: DataFrame, types: DataFrame) -> DataFrame:
+    """p, s, o, score: the cosine of the object's types with the distribution of object types of p (0 if either is zero)."""
+    f = by_type_set(facts, types)
+    return _agreement(f, _distribution(f.groupBy("p", "ts").agg(F.count("*").alias("n"))))
+
+
 def induced_ends(facts: DataFrame, types: DataFrame, end: str, conf: float = 0.95) -> DataFrame:
     """p, t, prob: of the types that more than conf of the distinct ends have, the one with fewest instances."""
     ends = facts.select("p", F.col(end).alias("e")).distinct()
@@ -103,11 +112,12 @@ def induced_ends(facts: DataFrame, types: DataFrame, end: str, conf: float = 0.9
     return good.withColumn("k", rank).filter("k = 1").select("p", "t", "prob")
 
 
-def domain_range_scores(facts: DataFrame, types: DataFrame, conf: float = 0.95) -> DataFrame:
-    """p, s, o, score: the lesser of both ends' parts: prob with the induced type, 1 - prob without, 1 if none is induced."""
+def domain_range_scores(facts: DataFrame, types: DataFrame, conf: float = 0.95, ends: dict[str, DataFrame] | None = None) -> DataFrame:
+    """p, s, o, score: the lesser of both ends' parts: prob with the induced type, 1 - prob without, 1 if none is induced. ends: what
+    induced_ends() gave for s and o, from the facts themselves by default."""
     out = facts
     for end in ("s", "o"):
-        want = induced_ends(facts, types, end, conf).select("p", F.col("t").alias("want"), "prob")
+        want = (ends[end] if ends else induced_ends(facts, types, end, conf)).select("p", F.col("t").alias("want"), "prob")
         sets = type_sets(types).withColumnRenamed("e", end)
         part = F.when(F.col("want").isNull(), 1.0).when(F.coalesce(F.array_contains("ts", F.col("want")), F.lit(False)), F.col("prob")).otherwise(1 - F.col("prob"))
         out = out.join(want, "p", "left").join(sets, end, "left").withColumn(f"_{end}", part).drop("want", "prob", "ts")
@@ -119,7 +129,7 @@ def outlier_scores(scores: DataFrame, per_relation: bool = True) -> DataFrame:
     below the mean stay as they are. Where all scores of a relation are equal, the outcome is 1."""
     keys = ["p"] if per_relation else []
     stats = scores.groupBy(*keys).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("*").alias("n"))
-    out = scores.join(F.broadcast(stats), keys) if keys else scores.join(F.broadcast(stats), F.col("score").isNotNull())
+    out = scores.join(stats, keys) if keys else scores.withColumn("_all", F.lit(1)).join(F.broadcast(stats.withColumn("_all", F.lit(1))), "_all")  # one row
     mean, std = F.when(F.col("n") > 1, F.round("mean", 9)).otherwise(1.0), F.when(F.col("n") > 1, F.round("std", 9)).otherwise(0.0)
     below = F.when(std == 0, 1.0).otherwise(F.try_divide(F.col("score") - mean, std)) if per_relation else F.col("score")
     return out.select("p", "s", "o", F.round(F.when(F.col("score") < mean, below).otherwise(1.0), 6).alias("score"))

@@ -35,12 +35,18 @@ def _key(kind: str, column: str) -> F.Column:
 
 
 def facts(spark: SparkSession, sf_dir: str, relations: list[str] | None = None) -> DataFrame:
-    """p, s, o as a set. Each relation reads two columns of one table; duplicates can only arise within a relation."""
-    parts = []
+    """p, s, o as a set. Duplicates can only arise within a relation; each table is read once, and its keys are made distinct as
+    numbers, all its relations together."""
+    by_table: dict[str, list[str]] = {}
     for p in relations or RELATIONS:
-        table, sk, sc, ok, oc, _, _ = RELATIONS[p]
-        pairs = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(sc, oc).distinct()
-        parts.append(pairs.select(F.lit(p).alias("p"), _key(sk, sc).alias("s"), _key(ok, oc).alias("o")))
+        by_table.setdefault(RELATIONS[p][0], []).append(p)
+    parts = []
+    for table, own in by_table.items():
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col(RELATIONS[p][2]).cast("long").alias("a"), F.col(RELATIONS[p][4]).cast("long").alias("b")) for k, p in enumerate(own)))
+        rows = df.select(F.explode(keys).alias("x")).select("x.k", "x.a", "x.b").distinct()
+        name = lambda k, side: F.element_at(F.array(*(F.lit(f"{RELATIONS[p][side]}/") for p in own)), k + 1)
+        parts.append(rows.select(F.element_at(F.array(*map(F.lit, own)), F.col("k") + 1).alias("p"), F.concat(name(F.col("k"), 1), F.col("a").cast("string")).alias("s"), F.concat(name(F.col("k"), 3), F.col("b").cast("string")).alias("o")))
     return reduce(DataFrame.unionByName, parts)
 
 
