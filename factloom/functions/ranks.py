@@ -53,3 +53,19 @@ def ordinal_ranks(df: DataFrame, order: str, ties: list[str], name: str = "rank"
     before = _before(rows.groupBy("_part").agg(F.count("*").alias("n")), ["n"])
     place = F.col("_m").bitwiseAND(F.lit((1 << PLACE) - 1))
     return rows.join(before, "_part").select(*df.columns, (F.col("_b_n") + place + 1).alias(name))
+
+
+def neighbours(values: DataFrame, asked: DataFrame, column: str = "x") -> DataFrame:
+    """x, floor, ceiling for each distinct value that is asked for: the greatest value that is not above it, and the least that is
+    not below it; null where there is none. Found inside sorted ranges, with the first and last values of the other ranges."""
+    both = values.select(F.col(column).alias("x"), F.lit(1).alias("v"), F.lit(0).alias("a")).unionByName(asked.select(F.col(column).alias("x"), F.lit(0).alias("v"), F.lit(1).alias("a")))
+    rows = _sorted(both.filter("x IS NOT NULL").groupBy("x").agg(F.max("v").alias("v"), F.max("a").alias("a")), ["x"])
+    own = F.when(F.col("v") == 1, F.col("x"))
+    part = rows.groupBy("_part").agg(F.max(own).alias("hi"), F.min(own).alias("lo"))
+    w = Window.orderBy("_part")
+    part = part.select("_part", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.min("lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("lo"))
+    inside = Window.partitionBy("_part").orderBy("_m")
+    down = F.last(own, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    up = F.first(own, ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = rows.join(F.broadcast(part), "_part")  # a row for each partition
+    return out.select("x", F.coalesce(down, "hi").alias("floor"), F.coalesce(up, "lo").alias("ceiling"), "a").filter("a = 1").drop("a")

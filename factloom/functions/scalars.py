@@ -76,19 +76,36 @@ def osa(a: str, b: str) -> int:
 
 
 @F.pandas_udf(T.IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """osa() of two columns; null where one is null. Meant for pairs that a join on deletions has found."""
+def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+def edit_distance(a: Column | str, b: Column | str, most: int | None = None) -> Column:
+    """osa() of two columns; null where one is null. With `most`, null as well where it must be above that: a transposition counts
+    two in the built-in distance, which rules out most pairs before any goes to Python."""
+    if most is None:
+        return _osa(a, b)
+    return F.when(F.levenshtein(a, b) <= 2 * most, _osa(a, b))
+
+
+#: Letters that stay one letter when their marks go, and what replaces them; those that become two follow.
+_PLAIN = {"À": "A", "Á": "A", "Â": "A", "Ã": "A", "Ä": "A", "Å": "A", "Ç": "C", "È": "E", "É": "E", "Ê": "E", "Ë": "E", "Ì": "I", "Í": "I", "Î": "I", "Ï": "I", "Ñ": "N", "Ò": "O", "Ó": "O", "Ô": "O", "Õ": "O", "Ö": "O", "Ø": "O", "Ù": "U", "Ú": "U", "Û": "U", "Ü": "U", "Ý": "Y"}
+_TWO = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th", "Ð": "D", "ð": "d", "Ł": "L", "ł": "l", "đ": "d", "Đ": "D"}
+
+
 def ascii_fold(text: Column) -> Column:
-    """Letters with marks become plain ones; other characters beyond ASCII go."""
+    """Letters with marks become plain ones, some letters two; other characters beyond ASCII go. Only texts beyond ASCII that the
+    table of Latin letters does not settle go to Python."""
+    plain = _PLAIN | {k.lower(): v.lower() for k, v in _PLAIN.items()}
+    out = F.translate(text, "".join(plain), "".join(plain.values()))
+    for k, v in _TWO.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
 
     @F.pandas_udf(T.StringType())
     def fold(x: pd.Series) -> pd.Series:
         return x.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
-    return fold(text)
+    return F.when(out.rlike(r"[^\x00-\x7f]"), fold(out)).otherwise(out)
 
 
 def stable_hash(*parts: Column | str, seed: int = 42) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.saved import saved
 from . import evaluation, names
 
+#: Detectors whose scores are probabilities, or cosines between 0 and 1.
+PROBABILISTIC = ("sdv", "domran", "pabred", "tybred", "patybred")
+
 
 def candidates(wrong: DataFrame, name_of: DataFrame, g, links: DataFrame | None = None, d: int = 2, subjects: bool = False) -> DataFrame:
     """p, s, o, end, cand, dist: other entities for the object (and the subject) of wrong facts. Legal ones have a type of the
@@ -18,12 +22,12 @@ def candidates(wrong: DataFrame, name_of: DataFrame, g, links: DataFrame | None
             asked = wrong.select(F.col(end).alias("q")).distinct().join(name_of.withColumnRenamed("e", "q"), "q")
             parts.append(names.suggestions(asked, name_of, d).select(F.col("q").alias(end), F.col("e").alias("cand"), "dist"))
         if links is not None:
-            parts.append(links.select(F.col("a").alias(end), F.col("b").alias("cand"), F.lit(0).cast("long").alias("dist")))
+            parts.append(links.select(F.col("a").alias(end), F.col("b").alias("cand"), F.lit(1).cast("long").alias("dist")))
         c = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         c = c.groupBy(end, "cand").agg(F.min("dist").alias("dist"))
         x = wrong.select("p", "s", "o").join(c, end).filter((F.col("cand") != F.col(end)) & (F.col("dist") <= 2))
         if schema is not None:
-            x = x.join(F.broadcast(schema.select("p", F.col("t").alias("_want"))), "p", "left")
+            x = x.join((schema.select("p", F.col("t").alias("_want"))), "p", "left")
             fits = x.join(g.types.select(F.col("e").alias("cand"), F.col("t").alias("_want")), ["cand", "_want"], "left_semi").unionByName(x.filter("_want IS NULL"))
             x = fits.drop("_want")
         new = [F.col("cand").alias("s"), "o"] if end == "s" else ["s", F.col("cand").alias("o")]
@@ -44,11 +48,11 @@ def several_types(types: DataFrame, end: str) -> DataFrame:
     return types.groupBy(F.col("e").alias(end)).agg(F.count("*").alias("n")).filter("n > 1").select(end)
 
 
-def correct(scores: DataFrame, g, detector, name_of: DataFrame, part: float = 0.01, gain: float = 1.5, links: DataFrame | None = None, subjects: bool = False, predicted_types: DataFrame | None = None) -> DataFrame:
+def correct(scores: DataFrame, g, detector, name_of: DataFrame, part: float = 0.01, gain: float = 1.5, links: DataFrame | None = None, subjects: bool = False, predicted_types: DataFrame | None = None, d: int = 2) -> DataFrame:
     """p, s, o, score, kind (type or entity), end, cand, cand_score, dist for the worst `part` of the facts. A repair of types
     that gains enough goes before another entity, the subject's before the object's."""
-    wrong = evaluation.worst(scores, part).select("p", "s", "o", "score")
-    found = candidates(wrong, name_of, g, links, subjects=subjects)
+    wrong = saved(evaluation.worst(scores, part).select("p", "s", "o", "score"), "worst")
+    found = candidates(wrong, name_of, g, links, d, subjects)
     eligible = found.filter("end = 'o'").join(several_types(g.types, "o"), "o", "left_semi").unionByName(found.filter("end = 's'").join(several_types(g.types, "s"), "s", "left_semi").select(found.columns) if "s" in found.columns else found.limit(0))
     made = eligible.select("*", F.when(F.col("end") == "s", F.col("cand")).otherwise(F.col("s")).alias("s2"), F.when(F.col("end") == "o", F.col("cand")).otherwise(F.col("o")).alias("o2"))
     judged = detector.score(made.select("p", F.col("s2").alias("s"), F.col("o2").alias("o")).distinct()).withColumnsRenamed({"s": "s2", "o": "o2", "score": "cand_score"})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.saved import saved
 from ..functions.scalars import absolute_distance, correlation, dot, squared_distance
 from ..model import Graph
 from .sampling import stable_hash
@@ -60,14 +63,19 @@ def proje(h: Column, r: Column, t: Column, w1: Column, w2: Column, bias: Column)
 class Embedding:
     """Vectors learned by margin ranking of facts over corrupted ones.
 
-    At most `sample` facts, those of least hash, are learned on the driver (a documented bound); entities that are in none of
-    them have no vector, and a fact without vectors scores null. Scores are joins and column expressions over all facts. `proje` uses the simple combination of head and
-    relation."""
+    At most `sample` facts, those of least hash, are learned on the driver (a documented bound). All other entities get their
+    vectors from the facts that link them with known ones, round by round in Spark: the mean of what each such fact asks for;
+    those that no fact links with a learned entity get zeros. So every fact of a known relation has a score. sampler: what a
+    negative replaces: `random` either end by any entity, `corrupted` either end by an entity seen there with the relation,
+    `lcwa` the object only, by any entity."""
 
-    def __init__(self, kind: str, dim: int = 100, epochs: int = 100, batches: int = 100, rate: float = 0.1, margin: float = 0.2, sample: int = 200_000, seed: int = 42):
+    def __init__(self, kind: str, dim: int = 100, epochs: int = 100, batches: int = 100, rate: float = 0.1, margin: float = 0.2, sample: int = 200_000, seed: int = 42, sampler: str = "random"):
         if kind not in ("transe", "hole", "rescal", "proje"):
             raise ValueError(f"unknown embedding {kind!r}")
-        self.kind, self.dim, self.epochs, self.batches, self.rate, self.margin, self.sample, self.seed = kind, dim, epochs, batches, rate, margin, sample, seed
+        if sampler not in ("random", "corrupted", "lcwa"):
+            raise ValueError("sampler is random, corrupted or lcwa")
+        self.kind, self.dim, self.epochs, self.batches, self.rate, self.margin, self.sample, self.seed, self.sampler = kind, dim, epochs, batches, rate, margin, sample, seed, sampler
+        self.weights: dict[str, np.ndarray] = {}
 
     def _grads(self, s, r, o):
         """Scores and their gradients for arrays of rows."""
@@ -78,29 +86,38 @@ class Embedding:
             fs, fr, fo = (np.fft.rfft(x, axis=1) for x in (s, r, o))
             back = lambda x: np.fft.irfft(x, n=s.shape[1], axis=1)
             return (r * back(np.conj(fs) * fo)).sum(1), back(np.conj(fr) * fo), back(np.conj(fs) * fo), back(fs * fr)
-        if self.kind == "rescal":
-            w = r.reshape(len(r), self.dim, self.dim)
-            so, ws = np.einsum("nij,nj->ni", w, o), np.einsum("ni,nij->nj", s, w)
-            return (s * so).sum(1), so, (s[:, :, None] * o[:, None, :]).reshape(r.shape), ws
-        c = np.tanh(s + r)
-        d = (s + o) / 2 * (1 - c * c)
-        return (c * (s + o)).sum(1) / 2, c / 2 + d, d, c / 2
+        w = r.reshape(len(r), self.dim, self.dim)
+        so, ws = np.einsum("nij,nj->ni", w, o), np.einsum("ni,nij->nj", s, w)
+        return (s * so).sum(1), so, (s[:, :, None] * o[:, None, :]).reshape(r.shape), ws
 
-    def fit(self, g: Graph) -> Embedding:
+    def _sample(self, g: Graph) -> tuple[np.ndarray, ...]:
+        """Names of entities and relations, and the numbers of subject, object and relation of each fact of the sample."""
         rows = g.facts.select("p", "s", "o", stable_hash("p", "s", "o", seed=self.seed).alias("h")).orderBy("h", "p", "s", "o").limit(self.sample).toPandas()
-        names, at = np.unique(np.concatenate([rows["s"], rows["o"]]), return_inverse=True)
+        names, at = np.unique(np.concatenate([rows["s"], rows["o"]]).astype(object), return_inverse=True)
         s, o = np.split(at, 2)
         rels, p = np.unique(rows["p"].to_numpy(object), return_inverse=True)
+        return names, rels, s, o, p
+
+    def _negatives(self, rng: np.random.Generator, a: np.ndarray, b: np.ndarray, q: np.ndarray, n: int, seen: dict[str, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        coin = np.zeros(len(a), bool) if self.sampler == "lcwa" else rng.random(len(a)) < 0.5
+        if self.sampler == "corrupted":
+            heads, tails = (np.array([pool[k][rng.integers(len(pool[k]))] for k in q]) for pool in (seen["s"], seen["o"]))
+        else:
+            heads = tails = rng.integers(0, n, len(a))
+        return np.where(coin, heads, a), np.where(coin, b, tails)
+
+    def fit(self, g: Graph) -> Embedding:
+        names, rels, s, o, p = self._sample(g)
         rng = np.random.default_rng(self.seed)
         bound = 6 / np.sqrt(self.dim)
         e = rng.uniform(-bound, bound, (len(names), self.dim))
         w = rng.uniform(-bound, bound, (len(rels), self.dim * (self.dim if self.kind == "rescal" else 1)))
         se, sw = np.full(e.shape, 1e-8), np.full(w.shape, 1e-8)
+        seen = {k: [np.unique(x[p == i]) for i in range(len(rels))] for k, x in (("s", s), ("o", o))}
         for _ in range(self.epochs):
             for own in np.array_split(rng.permutation(len(s)), min(self.batches, max(1, len(s)))):
                 a, b, q = s[own], o[own], p[own]
-                coin, new = rng.random(len(own)) < 0.5, rng.integers(0, len(names), len(own))
-                na, nb = np.where(coin, new, a), np.where(coin, b, new)
+                na, nb = self._negatives(rng, a, b, q, len(names), seen)
                 f, *gf = self._grads(e[a], w[q], e[b])
                 n, *gn = self._grads(e[na], w[q], e[nb])
                 bad = f - n < self.margin
@@ -111,17 +128,84 @@ class Embedding:
                         np.add.at(table, k, self.rate * x / np.sqrt(sums[k]))
                 if self.kind == "transe":
                     e /= np.maximum(1, np.linalg.norm(e, axis=1, keepdims=True))
+        self._tables(g, names, rels, e, w)
+        return self
+
+    def _tables(self, g: Graph, names: np.ndarray, rels: np.ndarray, e: np.ndarray, w: np.ndarray) -> None:
         spark = g.facts.sparkSession
-        self.entities = spark.createDataFrame(pd.DataFrame({"e": names.tolist(), "v": e.tolist()}), "e string, v array<double>")
+        known = spark.createDataFrame(pd.DataFrame({"e": names.tolist(), "v": e.tolist()}), "e string, v array<double>")
         vec = [x.reshape(self.dim, self.dim).tolist() if self.kind == "rescal" else x.tolist() for x in w]
         self.relations = spark.createDataFrame(pd.DataFrame({"p": rels.tolist(), "w": vec}), "p string, w " + ("array<array<double>>" if self.kind == "rescal" else "array<double>"))
-        return self
+        self.entities = self._fold_in(g, saved(known, "vectors"))
+
+    def _fold_in(self, g: Graph, known: DataFrame) -> DataFrame:
+        """known and the vectors of all other entities of facts."""
+        all_ = saved(g.facts.select(F.explode(F.array("s", "o")).alias("e")).distinct(), "entities")
+        left = saved(all_.join(known, "e", "left_anti"), "left")
+        while not left.isEmpty():
+            ask = lambda own, other, sign: g.facts.join(left.withColumnRenamed("e", own), own, "left_semi").join(known.withColumnRenamed("e", other), other).join(self.relations, "p", "left").select(F.col(own).alias("e"), (F.zip_with("v", F.coalesce("w", F.transform("v", lambda _: F.lit(0.0))), lambda x, y: x + sign * y) if self.kind == "transe" else F.col("v")).alias("v"))  # noqa: E731, B023
+            new = ask("s", "o", -1).unionByName(ask("o", "s", 1)).groupBy("e").agg(F.array(*(F.avg(F.col("v")[k]) for k in range(self.dim))).alias("v"))
+            new = saved(new, "folded")
+            if new.isEmpty():
+                new = left.withColumn("v", F.array(*(F.lit(0.0) for _ in range(self.dim))))
+            known = saved(known.unionByName(new), "vectors")
+            left = saved(left.join(new, "e", "left_anti"), "left")
+        return known
+
+    def _with_vectors(self, pairs: DataFrame) -> DataFrame:
+        e = self.entities
+        return pairs.join(e.select(F.col("e").alias("s"), F.col("v").alias("vs")), "s", "left").join(e.select(F.col("e").alias("o"), F.col("v").alias("vo")), "o", "left").join(self.relations, "p", "left")
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        e = self.entities
-        x = pairs.join(e.select(F.col("e").alias("s"), F.col("v").alias("vs")), "s", "left").join(e.select(F.col("e").alias("o"), F.col("v").alias("vo")), "o", "left").join(F.broadcast(self.relations), "p", "left")
+        """p, s, o, score; null for an entity or a relation that was in no fact."""
         s, r, o = F.col("vs"), F.col("w"), F.col("vo")
-        one = F.transform(s, lambda _: F.lit(1.0))
-        zero = F.transform(s, lambda _: F.lit(0.0))
-        score = {"transe": lambda: transe(s, r, o), "hole": lambda: hole(s, r, o), "rescal": lambda: rescal(s, r, o), "proje": lambda: proje(s, r, o, one, one, zero)}[self.kind]()
-        return x.select("p", "s", "o", F.round(score, 9).alias("score"))
+        score = {"transe": transe, "hole": hole, "rescal": rescal}[self.kind](s, r, o)
+        return self._with_vectors(pairs).select("p", "s", "o", F.round(score, 9).alias("score"))
+
+    @property
+    def compare(self):
+        """How a query's vector and an entity's are compared in one-vs-all scoring."""
+        from .linkpred import dot_scores, l2_scores
+
+        return l2_scores if self.kind == "transe" else dot_scores
+
+    def _query(self, side: str, v: np.ndarray, r: np.ndarray) -> np.ndarray:
+        if self.kind == "transe":
+            return v + r if side == "tail" else v - r
+        if self.kind == "hole":
+            f = np.fft.rfft(r, axis=1)
+            return np.fft.irfft((f if side == "tail" else np.conj(f)) * np.fft.rfft(v, axis=1), n=v.shape[1], axis=1)
+        return np.einsum("ni,nij->nj" if side == "tail" else "nj,nij->ni", v, r)
+
+    def _without_tables(self) -> Embedding:
+        """A copy that can be sent to executors."""
+        out = copy(self)
+        out.entities = out.relations = None
+        return out
+
+    def query_vectors(self, queries: DataFrame) -> DataFrame:
+        """queries (p, side, e: the given end) with vec, which `compare` scores against every entity's vector."""
+        x = queries.join(self.entities, "e").join(self.relations, "p")
+        kept, own = list(queries.columns), self._without_tables()
+
+        def run(batches):
+            for b in batches:
+                out = np.zeros((len(b), own.dim))
+                for side in ("tail", "head"):
+                    at = np.flatnonzero(b["side"] == side)
+                    if len(at):
+                        r = np.stack([np.stack(m) if own.kind == "rescal" else m for m in b["w"].iloc[at]]).astype(float)
+                        out[at] = own._query(side, np.stack(b["v"].iloc[at].to_numpy()).astype(float), r)
+                yield b[kept].assign(vec=out.tolist())
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
+        return x.select(*kept, "v", "w").mapInPandas(run, f"{schema}, vec array<double>")
+
+    def save(self, path: str) -> None:
+        self.entities.write.mode("overwrite").parquet(f"{path}/entities")
+        self.relations.write.mode("overwrite").parquet(f"{path}/relations")
+
+    def load(self, g: Graph, path: str) -> Embedding:
+        spark = g.facts.sparkSession
+        self.entities, self.relations = spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relations")
+        return self

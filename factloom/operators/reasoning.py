@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.saved import saved
 from ..model import Graph
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """All pairs of a node and a node above it, by squaring: each round joins the pairs found with themselves, so the number
     of rounds is the logarithm of the longest chain. Cycles end it as no pair is new; self-pairs are left out."""
-    found = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).filter("child <> parent").distinct().cache()
+    found = saved(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).filter("child <> parent").distinct(), "closure")
     n = found.count()
     while True:
         up = found.select(F.col("child").alias("parent"), F.col("parent").alias("top"))
         more = found.join(up, "parent").select("child", F.col("top").alias("parent")).filter("child <> parent")
-        longer = found.unionByName(more).distinct().cache()
+        longer = saved(found.unionByName(more).distinct(), "closure")
         if (m := longer.count()) == n:
             return found
         found, n = longer, m
@@ -47,6 +48,11 @@ def equivalent_types(types: DataFrame, equiv: DataFrame, pairwise: bool = False)
     return types.unionByName(types.join(both.withColumnRenamed("t1", "t"), "t").select("e", F.col("t2").alias("t"))).distinct()
 
 
+def with_type_facts(facts: DataFrame, types: DataFrame, relation: str = "rdf:type", prefix: str = "type:") -> DataFrame:
+    """facts and a fact for each type of an entity, as training data of embeddings."""
+    return facts.select("p", "s", "o").unionByName(types.select(F.lit(relation).alias("p"), F.col("e").alias("s"), F.concat(F.lit(prefix), "t").alias("o")))
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """Nodes without a parent."""
     e = edges.filter("child <> parent")
@@ -55,12 +61,12 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """node, level: the least number of steps from a root; a level is found from the one before it."""
-    e = edges.filter("child <> parent").distinct().cache()
-    frontier = roots(e).withColumn("level", F.lit(0)).cache()
-    out, k = frontier, 0
+    e = saved(edges.filter("child <> parent").distinct(), "edges")
+    out = frontier = saved(roots(e).withColumn("level", F.lit(0)), "level")
+    k = 0
     while True:
         k += 1
-        nxt = frontier.join(e.withColumnRenamed("parent", "node"), "node").select(F.col("child").alias("node")).distinct().join(out, "node", "left_anti").withColumn("level", F.lit(k)).cache()
+        nxt = saved(frontier.join(e.withColumnRenamed("parent", "node"), "node").select(F.col("child").alias("node")).distinct().join(out, "node", "left_anti").withColumn("level", F.lit(k)), "level")
         if nxt.isEmpty():
             return out
         out, frontier = out.unionByName(nxt), nxt

@@ -70,7 +70,7 @@ EXAMPLES = (
 ), neg AS (
   SELECT DISTINCT d.p, CASE WHEN coin = 0 THEN x.e ELSE d.s END AS s, CASE WHEN coin = 0 THEN d.o ELSE x.e END AS o FROM draw d JOIN pool x ON x.p = d.p AND x.i = d.i
 ), ex AS (
-  SELECT p, s, o, 1 AS label FROM pos UNION ALL SELECT n.p, n.s, n.o, 0 FROM neg n ANTI JOIN facts f ON n.p = f.p AND n.s = f.s AND n.o = f.o
+  SELECT p, s, o, 1 AS label FROM pos UNION ALL SELECT n.p, n.s, n.o, 0 FROM neg n LEFT JOIN facts f ON n.p = f.p AND n.s = f.s AND n.o = f.o WHERE f.p IS NULL
 ), cnt AS (
   SELECT p, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS n1 FROM ex GROUP BY p
 ), ff AS (
@@ -159,6 +159,35 @@ def through(vec: str, width: int = 8) -> str:
     return " + ".join(f"{vec}[{k + 1}] * r[{width * k} + i + 1]" for k in range(width))
 
 
+def exact_errors() -> str:
+    """errors(1) of the floor(n * 0.01) facts of least hash."""
+    drawn = f"WHERE {h(42, 'p', 's', 'o')} < {int(0.01 * 2**32)}"
+    return errors(1).replace(drawn, f"QUALIFY row_number() OVER (ORDER BY {h(42, 'p', 's', 'o')}, p, s, o) <= floor((SELECT count(*) FROM facts) * 0.01)")
+
+
+HALF = f", half AS (SELECT * FROM facts WHERE {h(5, 'p', 's', 'o')} % 2 = 0), other AS (SELECT * FROM facts WHERE {h(5, 'p', 's', 'o')} % 2 = 1)"
+NEW = """
+, w AS (SELECT p, t, count(*) / (SELECT count(*) FROM half)::DOUBLE AS w FROM half JOIN types ON o = e GROUP BY p, t)
+, norm AS (SELECT p, sqrt(sum(w * w)) AS norm FROM w GROUP BY p)
+SELECT f.p, f.s, f.o, coalesce(round(sum(w.w) / (sqrt(count(*)) * any_value(norm.norm)), 9), 0.0::DOUBLE) AS score
+FROM other f LEFT JOIN types t ON f.o = t.e LEFT JOIN w ON w.p = f.p AND w.t = t.t LEFT JOIN norm ON norm.p = f.p GROUP BY f.p, f.s, f.o"""
+ASKED = "WITH v AS (SELECT vec_id AS e, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT e AS q, v AS vec FROM v WHERE e % 20 = 0)"
+NOISY = errors(1) + ", noisyf AS (SELECT p, s, o FROM facts UNION ALL SELECT p, s, o FROM errs)" + SCORES.replace("facts", "noisyf")
+
+
+def path_rows() -> str:
+    """The pairs of followed_paths, a SELECT for each path."""
+    wanted = {"suppliedBy": ["^hasPart/shippedBy", "suppliedBy", "^hasPart/hasPart"], "shippedBy": ["hasPart/suppliedBy", "shippedBy"], "placedBy": ["hasPart/^hasPart", "placedBy"], "hasPart": ["shippedBy/^suppliedBy"], "custNation": ["^placedBy/placedBy", "custNation"]}
+    one = lambda r, x, a, b: f"facts {x} ON {x}.p = '{r.removeprefix('^')}' AND {x}.{'o' if r[0] == '^' else 's'} = {a}" + (f" AND {x}.{'s' if r[0] == '^' else 'o'} = {b}" if b else "")
+    out = []
+    for p, own in wanted.items():
+        for path in own:
+            r = path.split("/")
+            joins = f"JOIN {one(r[0], 'a', 'ex.s', 'ex.o')}" if len(r) == 1 else f"JOIN {one(r[0], 'a', 'ex.s', '')} JOIN {one(r[1], 'b', 'a.' + ('s' if r[0][0] == '^' else 'o'), 'ex.o')}"
+            out.append(f"SELECT DISTINCT ex.p, ex.s, ex.o, 'path:{path}' AS feature FROM ex {joins} WHERE ex.p = '{p}'")
+    return " UNION ALL ".join(out)
+
+
 ORACLE: dict[str, str] = {
     "kg_facts": BASE + " SELECT * FROM facts",
     "kg_types": BASE + " SELECT * FROM types",
@@ -197,10 +226,10 @@ ORACLE: dict[str, str] = {
     SELECT i.p1, i.r, inter, x.n * y.n AS mult, inter / (coalesce(b.k, 0) + 1)::DOUBLE AS m1, inter * u.k AS m2
     FROM i LEFT JOIN b ON b.p1 = i.p1 AND b.r = i.r JOIN u ON u.p1 = i.p1 AND u.r = i.r JOIN n x ON x.p = i.p1 JOIN n y ON y.p = i.r""",
     "path_features": BASE + " SELECT DISTINCT f.s, f.o FROM facts f JOIN facts a ON a.p = 'hasPart' AND a.o = f.s JOIN facts b ON b.p = 'shippedBy' AND b.s = a.s AND b.o = f.o WHERE f.p = 'suppliedBy'",
-    "type_features": BASE + " SELECT s, o, 's:' || t AS feature FROM facts JOIN types ON s = e WHERE p = 'placedBy' UNION ALL SELECT s, o, 'o:' || t FROM facts JOIN types ON o = e WHERE p = 'placedBy'",
+    "type_features": BASE + ", f AS (SELECT DISTINCT s, o FROM facts) SELECT s, o, 's:' || t AS feature FROM f JOIN types ON s = e UNION ALL SELECT s, o, 'o:' || t FROM f JOIN types ON o = e",
     "end_features": BASE
-    + """, k AS (SELECT DISTINCT p, 'out' AS k, s AS e FROM facts UNION ALL SELECT DISTINCT p, 'in', o FROM facts)
-    SELECT s, o, k || '_s:' || k.p AS feature FROM facts f JOIN k ON f.s = k.e WHERE f.p = 'placedBy' UNION ALL SELECT s, o, k || '_o:' || k.p FROM facts f JOIN k ON f.o = k.e WHERE f.p = 'placedBy'""",
+    + """, f AS (SELECT DISTINCT s, o FROM facts), k AS (SELECT DISTINCT p, 'out' AS k, s AS e FROM facts UNION ALL SELECT DISTINCT p, 'in', o FROM facts)
+    SELECT s, o, k || '_s:' || k.p AS feature FROM f JOIN k ON f.s = k.e UNION ALL SELECT s, o, k || '_o:' || k.p FROM f JOIN k ON f.o = k.e""",
     "training_examples": BASE + EXAMPLES + " SELECT * FROM ex",
     "feature_scores": BASE + EXAMPLES + " SELECT p, feature, chi2, mi FROM fs",
     "best_features_chi2": BASE + EXAMPLES + " SELECT p, feature, chi2, rank FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY chi2 DESC, feature) AS rank FROM fs) WHERE rank <= 5",
@@ -229,7 +258,7 @@ ORACLE: dict[str, str] = {
     "hierarchy_tree": BASE + " SELECT child, min(parent) AS parent FROM up GROUP BY child",
     "ntriples_facts": BASE + " SELECT * FROM facts",
     "tsv_triples": "SELECT c_name AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, c_mktsegment AS o FROM customer WHERE c_custkey % 7 <> 0",
-    "disambiguation_links": "SELECT 'customer/' || a.c_custkey AS a, 'customer/' || b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey % 20 = 0 AND b.c_custkey % 20 = 0",
+    "disambiguation_links": "SELECT 'customer/' || a.c_custkey AS a, 'customer/' || b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey",
     "name_tokens": PARTS + " SELECT token, count(*) AS freq FROM tok GROUP BY token",
     "deletion_variants": PARTS + " SELECT DISTINCT token, token AS variant FROM tok UNION SELECT token, substr(token, 1, i - 1) || substr(token, i + 1) FROM (SELECT DISTINCT token, unnest(range(1, length(token) + 1)) AS i FROM tok WHERE length(token) > 1)",
     "similar_tokens": TOKENS.format("SELECT p_partkey AS e, p_name AS name FROM part UNION ALL SELECT n_nationkey, n_name FROM nation")
@@ -255,4 +284,66 @@ ORACLE: dict[str, str] = {
       FROM facts f JOIN facts m ON m.p = 'inRegion' AND m.s = f.o JOIN facts n ON n.p = 'inRegion' AND n.o = m.o AND n.s <> f.o WHERE f.p = 'custNation'
     ) SELECT p, s, o, cand, dist FROM (SELECT *, row_number() OVER (PARTITION BY p, s, o ORDER BY cand_score DESC, dist, cand) AS k FROM c WHERE cand_score > 0.75 AND cand_score >= 1.5 * score) WHERE k = 1""",
     "stream_model_scores": BASE + SCORES + " SELECT * FROM scores",
+    "detect_injected_errors": BASE
+    + NOISY
+    + """, judged AS (SELECT x.score, e.p IS NOT NULL AS is_error FROM scores x LEFT JOIN errs e ON x.p = e.p AND x.s = e.s AND x.o = e.o)
+    , cv AS (SELECT score, count(*) FILTER (WHERE is_error) AS pos, count(*) FILTER (WHERE NOT is_error) AS neg FROM judged GROUP BY score)
+    , cum AS (SELECT *, sum(neg) OVER (ORDER BY score) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM cv)
+    SELECT round(sum(pos * (nn - fp + neg / 2.0::DOUBLE)) / max(np * nn), 9)::DOUBLE AS roc_auc FROM cum""",
+    "name_suggestions": PARTS
+    + """, asked AS (SELECT e AS q, token FROM tok WHERE e % 20 = 0), n AS (SELECT q, count(*) AS nq FROM asked GROUP BY q)
+    , sim AS (SELECT a.token AS query, b.token, damerau_levenshtein(a.token, b.token) AS dist FROM (SELECT DISTINCT token FROM asked) a JOIN (SELECT DISTINCT token FROM tok) b ON damerau_levenshtein(a.token, b.token) <= 1)
+    , hit AS (SELECT q, t.e, query, min(dist) AS dist FROM asked JOIN sim ON asked.token = sim.query JOIN tok t ON t.token = sim.token GROUP BY q, t.e, query)
+    , got AS (SELECT q, e, count(*) AS matches, sum(dist)::BIGINT AS dist FROM hit GROUP BY q, e)
+    SELECT * FROM (SELECT got.*, row_number() OVER (PARTITION BY got.q ORDER BY dist, e)::INT AS rank FROM got JOIN n ON got.q = n.q WHERE matches = nq) WHERE rank <= 10""",
+    "agreement_on_new_facts": BASE + HALF + NEW,
+    "induced_ends_on_new_facts": BASE
+    + HALF
+    + INDUCED.replace("FROM facts", "FROM half").replace("0.95", "0.6")
+    + """ SELECT f.p, f.s, f.o, round(least(
+      CASE WHEN a.t IS NULL THEN 1.0 WHEN list_contains(x.ts, a.t) THEN a.prob ELSE 1 - a.prob END,
+      CASE WHEN b.t IS NULL THEN 1.0 WHEN list_contains(y.ts, b.t) THEN b.prob ELSE 1 - b.prob END)::DOUBLE, 9) AS score
+    FROM other f LEFT JOIN ind a ON a.p = f.p AND a."end" = 's' LEFT JOIN ind b ON b.p = f.p AND b."end" = 'o' LEFT JOIN tset x ON x.e = f.s LEFT JOIN tset y ON y.e = f.o""",
+    "errors_exact": BASE + exact_errors() + " SELECT * FROM errs",
+    "chained_negatives": BASE
+    + EXAMPLES
+    + f""", d1 AS (SELECT d.p, pos.s, pos.o, CASE WHEN coin = 0 THEN x.e ELSE d.s END AS s1, CASE WHEN coin = 0 THEN d.o ELSE x.e END AS o1 FROM draw d JOIN pos ON pos.p = d.p AND pos.s = d.s AND pos.o = d.o JOIN pool x ON x.p = d.p AND x.i = d.i)
+    , d2 AS (SELECT d.p, CASE WHEN {h(43, "d.p", "d.s", "d.o", "2")} % 2 = 0 THEN x.e ELSE d.s1 END AS s1, CASE WHEN {h(43, "d.p", "d.s", "d.o", "2")} % 2 = 0 THEN d.o1 ELSE x.e END AS o1
+      FROM d1 d JOIN (SELECT p, max(n) AS n FROM pool GROUP BY p) b ON b.p = d.p JOIN pool x ON x.p = d.p AND x.i = {h(44, "d.p", "d.s", "d.o", "2")} % b.n)
+    SELECT n.p, n.s, n.o FROM (SELECT p, s1 AS s, o1 AS o FROM d1 UNION SELECT p, s1, o1 FROM d2) n LEFT JOIN facts f ON n.p = f.p AND n.s = f.s AND n.o = f.o WHERE f.p IS NULL""",
+    "type_facts": BASE + " SELECT p, s, o FROM facts UNION ALL SELECT 'rdf:type', e, 'type:' || t FROM types",
+    "entity_dictionary": BASE + " SELECT DISTINCT e FROM types",
+    "value_neighbours": "SELECT x, (SELECT max(s_acctbal::DOUBLE) FROM supplier WHERE s_acctbal::DOUBLE <= x) AS floor, (SELECT min(s_acctbal::DOUBLE) FROM supplier WHERE s_acctbal::DOUBLE >= x) AS ceiling FROM (SELECT DISTINCT c_acctbal::DOUBLE AS x FROM customer)",
+    "word_suggestions": PARTS
+    + """, f AS (SELECT token, count(*) AS freq FROM tok GROUP BY token)
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, freq DESC, token)::INT AS rank FROM (SELECT a.token AS query, b.token, damerau_levenshtein(a.token, b.token)::INT AS dist, b.freq FROM f a JOIN f b ON damerau_levenshtein(a.token, b.token) <= 1)""",
+    "one_vs_all_top": ASKED
+    + """, s AS (SELECT q, e, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: vec[i] * v[i])), 9) AS score FROM q, v)
+    SELECT q, e, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, e)::INT AS rank FROM s) WHERE rank <= 10""",
+    "one_vs_all_ranks": ASKED
+    + """, s AS (SELECT q, e, round(-list_sum(list_transform(range(1, len(v) + 1), lambda i: (vec[i] - v[i]) ^ 2)), 9) AS score FROM q, v)
+    SELECT t.q, 1 + count(*) FILTER (WHERE s.score > t.score) AS rank, 1 + count(*) FILTER (WHERE s.score > t.score AND NOT (s.e % 3 = 0 AND s.e BETWEEN 3 * s.q AND 3 * (s.q + 40) AND s.e <> t.e)) AS filtered_rank
+    FROM s t JOIN s ON s.q = t.q WHERE t.e = t.q + 1 GROUP BY t.q""",
+    "external_ranks": LINKS + " SELECT q, answer, rank, filtered_rank FROM r",
+    "rank_pooling": BASE
+    + f""", test AS (SELECT p, s, o FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY {h(42, "p", "s", "o")}, s, o) AS k, count(*) OVER (PARTITION BY p) AS n FROM facts) WHERE k <= ceil(n * 0.01))
+    , asked AS (SELECT 'tail|' || t.p || '|' || t.s || '|' || t.o AS q, (SELECT count(*) FROM facts f WHERE f.p = t.p AND f.s = t.s) - 1 AS hidden FROM test t
+      UNION ALL SELECT 'head|' || t.p || '|' || t.s || '|' || t.o, (SELECT count(*) FROM facts f WHERE f.p = t.p AND f.o = t.o) - 1 FROM test t)
+    , r AS (SELECT {h(3, "q")} % 100 + 1 AS rank, greatest(1, {h(3, "q")} % 100 + 1 - least(hidden, 5)) AS filtered_rank FROM asked)
+    SELECT round(avg(rank), 9) AS mean_rank, round(avg(1.0::DOUBLE / rank), 9) AS mrr, round(100 * avg((rank <= 10)::INT), 9) AS hits,
+      round(avg(filtered_rank), 9) AS filtered_mean_rank, round(avg(1.0::DOUBLE / filtered_rank), 9) AS filtered_mrr, round(100 * avg((filtered_rank <= 10)::INT), 9) AS filtered_hits FROM r""",
+    "followed_paths": BASE + EXAMPLES + " " + path_rows(),
+    "corrections": BASE
+    + NOISY
+    + """, worst AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score, p, s, o) AS rank FROM scores) WHERE rank <= floor((SELECT count(*) FROM scores) * 0.005))
+    , num AS (SELECT DISTINCT e, split_part(e, '/', 2) AS k FROM types)
+    , c AS (
+      SELECT w.p, w.s, w.o, w.score, b.e AS cand FROM worst w JOIN num a ON a.e = w.o JOIN num b ON b.k = a.k AND b.e <> w.o JOIN ends ON ends.p = w.p
+      JOIN types t ON t.e = b.e AND t.t = ends.r JOIN (SELECT e FROM types GROUP BY e HAVING count(*) > 1) m ON m.e = w.o
+      LEFT JOIN noisyf f ON f.p = w.p AND f.s = w.s AND f.o = b.e WHERE f.p IS NULL
+    ), cs AS (
+      SELECT c.p, c.cand, round(sum(w.w) / (sqrt(count(*)) * any_value(norm.norm)), 9) AS cand_score
+      FROM (SELECT DISTINCT p, cand FROM c) c JOIN types t ON t.e = c.cand LEFT JOIN w ON w.p = c.p AND w.t = t.t JOIN norm ON norm.p = c.p GROUP BY c.p, c.cand
+    ) SELECT p, s, o, score, 'entity' AS kind, 'o' AS "end", cand, cand_score, 0::BIGINT AS dist
+    FROM (SELECT c.*, cand_score, row_number() OVER (PARTITION BY c.p, s, o ORDER BY cand_score DESC, c.cand) AS k FROM c JOIN cs ON cs.p = c.p AND cs.cand = c.cand WHERE cand_score > 0.75 AND cand_score >= 1.5 * score) WHERE k = 1""",
 }

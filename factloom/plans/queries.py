@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import ranks, scalars
+from ..functions.saved import saved
 from ..functions.scalars import stable_hash
 from ..model import Graph
-from ..operators import classifiers, constraints, correction, detectors, embeddings, evaluation, names, paths, reasoning, sampling, statistics
+from ..operators import classifiers, constraints, correction, detectors, embeddings, evaluation, linkpred, names, paths, proje, reasoning, sampling, statistics
 from ..sources import tables, triples
 from ..streaming import scoring
 
@@ -153,12 +154,12 @@ def path_features(g):
 
 @query
 def type_features(g):
-    return paths.type_features(g.facts.filter("p = 'placedBy'"), g.types)
+    return paths.type_features(g.facts.select("s", "o").distinct(), g.types)
 
 
 @query
 def end_features(g):
-    return paths.end_features(g.facts.filter("p = 'placedBy'"), g.facts)
+    return paths.end_features(g.facts.select("s", "o").distinct(), g.facts)
 
 
 def _examples(g):
@@ -464,3 +465,123 @@ def rule_violations(g):
 def stream_model_scores(g):
     """The function that scores a stream, on a table."""
     return scoring.score_stream(g.facts, g.types, scoring.agreement_model(g.facts, g.types))
+
+
+def _halves(g):
+    """A graph with one half of the facts, by hash, and the other half."""
+    even = stable_hash("p", "s", "o", seed=5) % 2 == 0
+    return Graph(g.facts.filter(even), g.types, g.subclass, None, g.domains, g.ranges), g.facts.filter(~even)
+
+
+@query
+def agreement_on_new_facts(g):
+    """Facts that the detector has not seen, by the distributions of those that it has."""
+    half, new = _halves(g)
+    return detectors.TypeAgreement().fit(half).score(new)
+
+
+@query
+def induced_ends_on_new_facts(g):
+    half, new = _halves(g)
+    return detectors.InducedEnds(0.6).fit(half).score(new)
+
+
+@query
+def errors_exact(g):
+    """Errors of an exact number of drawn facts."""
+    return sampling.corrupted(g.facts, g.types, 0.01, 1, exact=True)
+
+
+@query
+def chained_negatives(g):
+    """Two draws for each positive, the second from the outcome of the first."""
+    return sampling.negatives(sampling.per_relation(g.facts, TRAIN), g.facts, 2, chain=True)
+
+
+@query
+def type_facts(g):
+    return reasoning.with_type_facts(g.facts, g.types)
+
+
+@query
+def entity_dictionary(g):
+    return triples.dictionary(g.types, "e").select("iri").withColumnRenamed("iri", "e")
+
+
+@raw
+def value_neighbours(spark, sf_dir):
+    """The account balances of suppliers around each one of customers."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_acctbal").cast("double").alias("x"))
+    return ranks.neighbours(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_acctbal").cast("double").alias("x")), c)
+
+
+@raw
+def word_suggestions(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("e"), F.col("p_name").alias("name"))
+    index = names.token_index(p, fold=True)
+    return names.word_suggestions(index.select("token"), index)
+
+
+def _asked(spark, sf_dir):
+    """Queries of every vector whose id is divisible by 20, and all vectors as entities."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("e"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return v.filter("e % 20 = 0").select(F.col("e").alias("q"), F.col("v").alias("vec")), v
+
+
+@raw
+def one_vs_all_top(spark, sf_dir):
+    """The ten best entities of each query among all."""
+    return linkpred.top_entities(*_asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@raw
+def one_vs_all_ranks(spark, sf_dir):
+    """Where the next vector is among all answers of a query, and where without those whose id is divisible by 3."""
+    q, v = _asked(spark, sf_dir)
+    hidden = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: 3 * (F.col("q") + i).cast("long")), lambda x: x != F.col("q") + 1)
+    return linkpred.answer_ranks(q.withColumn("answer", F.col("q") + 1).withColumn("hidden", hidden), v, linkpred.l2_scores)
+
+
+@raw
+def external_ranks(spark, sf_dir):
+    """Ranks made elsewhere, filtered by known answers."""
+    x, known = _candidates(spark, sf_dir)
+    return linkpred.filter_ranks(evaluation.all_ranks(x, ["q"]), known)
+
+
+@query
+def rank_pooling(g):
+    """Positions of heads and tails of a sample of facts under a model of type agreement, pooled."""
+    test = linkpred.test_facts(g.facts, 0.01)
+    asked = linkpred.with_known(linkpred.both_ends(test), g.facts)
+    part = stable_hash("q", seed=3) % 100 + 1
+    return linkpred.pooled(asked.select("side", part.alias("rank"), F.greatest(F.lit(1).cast("long"), part - F.least(F.size("hidden"), F.lit(5))).alias("filtered_rank")))
+
+
+@query
+def followed_paths(g):
+    """All planned paths of two steps that connect the ends of each of TRAIN facts of a relation and of their negatives."""
+    rows = sampling.examples(g.facts, TRAIN).select("p", "s", "o")
+    return paths.followed(rows, g.facts, {"suppliedBy": [("^hasPart", "shippedBy"), ("suppliedBy",), ("^hasPart", "hasPart")], "shippedBy": [("hasPart", "suppliedBy"), ("shippedBy",)], "placedBy": [("hasPart", "^hasPart"), ("placedBy",)], "hasPart": [("shippedBy", "^suppliedBy")], "custNation": [("^placedBy", "placedBy"), ("custNation",)]})
+
+
+@query
+def corrections(g):
+    """Corrections of the worst facts of a graph with errors; entities of the same number have the same name."""
+    wrong = sampling.corrupted(g.facts, g.types, 0.01, 1)
+    noisy = Graph(saved(g.facts.unionByName(wrong), "noisy"), g.types, g.subclass, None, g.domains, g.ranges)
+    d = detectors.TypeAgreement().fit(noisy)
+    number = F.md5(F.substring_index("e", "/", -1))
+    name = g.types.select("e").distinct().withColumn("name", F.translate(F.substring(number, 1, 12), "0123456789", "ghijklmnop"))
+    return correction.correct(d.score(noisy.facts), noisy, d, name, 0.005, d=1)
+
+
+@query
+def transe_scores(g):
+    """A small embedding, trained on a sample and folded in for all entities."""
+    return embeddings.Embedding("transe", dim=16, epochs=5, sample=20_000).fit(g).score(g.facts)
+
+
+@query
+def proje_scores(g):
+    return proje.ProjE(dim=16, epochs=2, sample=2_000).fit(g).score(g.facts)
