@@ -35,8 +35,9 @@ from .components import components
 #: classes of shingles, least agreeing samples of a pair in the second step (a pair at 0.8 has fewer in 2 of 10,000 cases).
 WORDS, LEAST, BANDS, ROWS, CLASSES, AGREE, BLOCK = 5, 0.8, 10, 3, 18, 15, 512
 CHUNK, TILE = 1_000_000, 2_000_000
-#: (document, shingle) pairs whose documents are counted in one part.
-PART = 1 << 21
+#: (document, shingle) pairs whose documents are counted in one part; pairs that a task adds up before it sends them; shingles in a
+#: row that is sent, so that a batch of rows is small.
+PART, HELD, ROW = 1 << 18, 1 << 20, 512
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -142,23 +143,38 @@ def _parts(value: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(int(p), int(edges[p]), int(edges[p + 1])) for p in np.flatnonzero(np.diff(edges))]
 
 
+def _added(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, and the sums of their numbers."""
+    order = np.argsort(value, kind="stable")
+    value, n = value[order], n[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+    return value[first], np.add.reduceat(n, first, dtype=np.uint32) if len(first) else n
+
+
 def shared_shingles(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
     """part, v (shingles, ascending) and n (their documents): all shingles that two or more documents hold, counted exactly."""
 
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        value, n = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at = [(p, k, min(k + ROW, b)) for p, a, b in _parts(value, bits) for k in range(a, b, ROW)]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in at], pa.int32()), pa.array([value[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in at], pa.binary())], ["part", "v", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for chunk in common.text_chunks(batch, "t", CHUNK):
                 value, n = np.unique(shingles(chunk.column("t"))[1], return_counts=True)
-                n, at = n.astype("<u4"), _parts(value, bits)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in at], pa.int32()), pa.array([value[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in at], pa.binary())], ["part", "v", "n"])
+                held.append((value, n.astype("<u4")))
+                size += len(value)
+                if size >= HELD:
+                    yield sent(held)
+                    held, size = [], 0
+        if held:
+            yield sent(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in blocks.groups(batches, ["part"]):
-            value, n = (np.frombuffer(b"".join(g.column(c).to_pylist()), t) for c, t in (("v", "<u8"), ("n", "<u4")))
-            order = np.argsort(value, kind="stable")
-            value, n = value[order], n[order]
-            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            value, n = value[first], np.add.reduceat(n, first, dtype=np.uint32)
+            value, n = _added(*(np.frombuffer(b"".join(g.column(c).to_pylist()), t) for c, t in (("v", "<u8"), ("n", "<u4"))))
             often = n > 1
             yield pa.RecordBatch.from_arrays([g.column("part").slice(0, 1), pa.array([value[often].tobytes()], pa.binary()), pa.array([n[often].tobytes()], pa.binary())], ["part", "v", "n"])
 
