@@ -152,8 +152,8 @@ def test_trees_and_rules(g, spark):
     cond = constraints.rules(classifiers.train(ex, ft, sel, "dt"), 0.9)["bornIn"]
     assert rows(constraints.violations("bornIn", cond, g.facts, g.types)) == [("a", "b")]
     assert "sh:targetSubjectsOf <bornIn>" in constraints.turtle({"bornIn": cond})
-    with pytest.raises(NotImplementedError):
-        classifiers.train(ex, ft, sel, "svm")
+    with pytest.raises(ValueError, match="unknown classifier"):
+        classifiers.train(ex, ft, sel, "forest")
 
 
 def test_outliers(g):
