@@ -5,8 +5,8 @@ trained on labelled findings votes on each by its length, its character transiti
 its document's path and the neighbouring words. The forest's trees are written out as one SQL expression, so scanning and
 redacting need no shuffle and no Python.
 
-Null text counts as empty, a null path as an empty one. A document's candidates do not overlap. A table without rows gives no
-rows; further columns are ignored.
+Null text counts as empty, a null path as an empty one. A document's candidates do not overlap. Rows with equal or no key are
+documents of their own. A table without rows gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -146,10 +146,11 @@ def _over(name: str, sql: str) -> str:
 def scan(docs: DataFrame, votes: str, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """key, start (in characters), size, candidate, score, is_secret: one row for each candidate."""
     df = scored(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), (F.col(path) if path else F.lit("")).alias("s")), "t", "s", votes)
-    rows = df.select("k", F.posexplode("parts").alias("i", "x")).filter("x.candidate IS NOT NULL")
-    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select("k", F.xxhash64("t", "s").alias("h"), F.posexplode("parts").alias("i", "x")).filter("x.candidate IS NOT NULL")
+    w = Window.partitionBy("k", "h").orderBy("i")
     size = F.length("x.candidate")
-    end = F.sum(F.length("x.gap") + size).over(w)
+    # equal rows have equal parts: those up to the i-th of all copies, by the number of copies
+    end = F.sum(F.length("x.gap") + size).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) / F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return rows.select(F.col("k").alias(key), (end - size).cast("long").alias("start"), size.cast("long").alias("size"), F.col("x.candidate").alias("candidate"), F.col("x.score").alias("score"), (F.col("x.score") >= VOTES).alias("is_secret"))
 
 
