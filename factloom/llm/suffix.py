@@ -31,7 +31,7 @@ from .minhash import powers
 
 WINDOW, GRAM = 100, 64
 #: One document of SAMPLE is counted for frequent anchors, of which FREQUENT at most are told to the executors; the segments of
-#: an anchor that go to one shard, the bytes of a shard.
+#: an anchor that go to one shard, the bytes of a shard (as many as MOST segments have at most, so a shard holds no more).
 SAMPLE, FREQUENT, MOST, SHARD = 16, 5000, 7000, 1_000_000
 #: Bytes of a chunk, and bits that hold a place in one; the order of anchors must not depend on a chunk's size.
 CHUNK, PLACE = 1 << 20, 21
@@ -244,11 +244,12 @@ def shared_spans(segs: DataFrame) -> DataFrame:
 
         held, size = [], 0
         for g in blocks.groups(batches, ["h"]):
-            held.append(g)
-            size += g.column("seg").nbytes
-            if size >= SHARD:
+            more = g.column("seg").nbytes
+            if held and size + more > SHARD:
                 yield told(held)
                 held, size = [], 0
+            held.append(g)
+            size += more
         if held:
             yield told(held)
 
