@@ -45,19 +45,20 @@ def _lower(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(col.cast(pa.large_string()).fill_null(""))
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
+#: The longest table of powers() that this process has needed.
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()))
+    """Powers of an odd number modulo 2**64, up to the n-th at least, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(4, -(-n >> 18)) << 18
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size + 1, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.cumprod(p))
+    return _POWERS[0], _POWERS[1]
 
 
 @cache
