@@ -104,7 +104,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(ids, pa.binary())], ["k", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(common.lean(run), f"k {kind}, ids binary").withColumnRenamed("k", key)
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -119,7 +119,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, out], ["k", "ids", "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), "ids").mapInArrow(run, f"k {kind}, ids binary, decoded binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), "ids").mapInArrow(common.lean(run), f"k {kind}, ids binary, decoded binary").withColumnRenamed("k", key)
 
 
 def id_array(ids: Column) -> Column:

@@ -123,7 +123,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 pair, n = np.unique(np.repeat(code.astype(np.uint64), np.diff(bounds)) << np.uint64(32) | key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[(pair >> np.uint64(32)).astype(int)], pa.string()), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
 
-    counts = common.saved(rows.select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+    counts = common.saved(rows.select("lang", "text").mapInArrow(common.lean(run), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     f = counts.join(total, "lang").withColumn("f", F.col("n") / F.col("total"))
     top = f.groupBy("g").agg(F.max("f").alias("top"))
@@ -158,7 +158,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, lang, pa.array(score)], [*names, "lang_pred_", "score_"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
-    out = inner.mapInArrow(run, f"{schema}, lang_pred_ string, score_ double")
+    out = inner.mapInArrow(common.lean(run), f"{schema}, lang_pred_ string, score_ double")
     sure = F.coalesce(F.col(t).rlike(r"\p{L}"), F.lit(False))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)), F.when(sure, F.col("lang_pred_")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("score_")).otherwise(0.0).alias("score"))
 

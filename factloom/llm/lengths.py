@@ -32,7 +32,7 @@ def histogram(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             length, n = np.unique(np.concatenate(sizes), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], ["length", "n"])
 
-    return df.select(F.col(text).alias("t")).mapInArrow(run, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return df.select(F.col(text).alias("t")).mapInArrow(common.lean(run), "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

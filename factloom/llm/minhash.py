@@ -127,7 +127,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], rows))], ["c", "n"])
 
-    got = docs.select(F.col(text).alias("t")).mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").cast("float").alias("n")).toPandas()
+    got = docs.select(F.col(text).alias("t")).mapInArrow(common.lean(run), "c int, n long").groupBy("c").agg(F.sum("n").cast("float").alias("n")).toPandas()
     out = np.zeros(1 << CLASSES, np.float32)
     own = got[got["c"] >= 0]
     out[own["c"].to_numpy()] = own["n"].to_numpy(np.float32)
@@ -180,7 +180,7 @@ def shared_shingles(docs: DataFrame, bits: int, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([g.column("part").slice(0, 1), pa.array([value[often].tobytes()], pa.binary()), pa.array([n[often].tobytes()], pa.binary())], ["part", "v", "n"])
 
     kind = "part int, v binary, n binary"
-    return docs.select(F.col(text).alias("t")).mapInArrow(count, kind).repartition("part").sortWithinPartitions("part").mapInArrow(add, kind)
+    return docs.select(F.col(text).alias("t")).mapInArrow(common.lean(count), kind).repartition("part").sortWithinPartitions("part").mapInArrow(common.lean(add), kind)
 
 
 def with_frequencies(texts: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
@@ -229,12 +229,12 @@ def with_frequencies(texts: DataFrame, shared: DataFrame, bits: int) -> DataFram
                 edge = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([ids, own, pa.array([n[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], ["doc_id", "text", "df"])
 
-    chunks = common.saved(texts.select("doc_id", "text").mapInArrow(gather, "chunk long, ids array<long>, texts array<string>"), "chunks")
-    asked = chunks.select("chunk", "texts").mapInArrow(ask, "part int, chunk long, v binary, n binary")
+    chunks = common.saved(texts.select("doc_id", "text").mapInArrow(common.lean(gather), "chunk long, ids array<long>, texts array<string>"), "chunks")
+    asked = chunks.select("chunk", "texts").mapInArrow(common.lean(ask), "part int, chunk long, v binary, n binary")
     both = asked.unionByName(shared.select("part", F.lit(None).cast("long").alias("chunk"), "v", "n"))
-    answers = both.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(answer, "chunk long, part int, n binary")
+    answers = both.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(common.lean(answer), "chunk long, part int, n binary")
     answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("x")).select("chunk", F.col("x.n").alias("n"))
-    return chunks.join(answers, "chunk").select("ids", "texts", "n").mapInArrow(spread, "doc_id long, text string, df binary")
+    return chunks.join(answers, "chunk").select("ids", "texts", "n").mapInArrow(common.lean(spread), "doc_id long, text string, df binary")
 
 
 def weights(df: pa.Array, documents: int) -> np.ndarray:
@@ -301,7 +301,7 @@ def signatures(docs: DataFrame, weight_of: np.ndarray, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("same").take(at), part.column("size").take(at), sig], ["id", "same", "size", "sig"])
 
     rows = docs.select(F.col(key).alias("id"), F.unhex(F.md5(text)).alias("same"), F.octet_length(text).cast("long").alias("size"), F.col(text).alias("t")).filter("t IS NOT NULL")
-    return rows.mapInArrow(run, "id long, same binary, size long, sig array<long>")
+    return rows.mapInArrow(common.lean(run), "id long, same binary, size long, sig array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, documents: int, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,7 +329,7 @@ def verified(docs: DataFrame, pairs: DataFrame, documents: int, least: float = L
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), "df")
     one = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("df").alias("db")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("df").alias("da")), "a")
-    return two.select("a", "b", "ta", "tb", "da", "db").mapInArrow(run, "a long, b long, similarity double")
+    return two.select("a", "b", "ta", "tb", "da", "db").mapInArrow(common.lean(run), "a long, b long, similarity double")
 
 
 def _agreement(g: pa.RecordBatch, agree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -363,7 +363,7 @@ def best_partners(members: DataFrame, agree: int = AGREE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(same[a, b].astype(np.int32))], ["a", "b", "n"])
 
     bucket = ["band", "bucket"]
-    out = blocks.paired(blocks.candidates(members, bucket), bucket, "id", BLOCK).mapInArrow(run, "a long, b long, n int")
+    out = blocks.paired(blocks.candidates(members, bucket), bucket, "id", BLOCK).mapInArrow(common.lean(run), "a long, b long, n int")
     out = out.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -394,7 +394,7 @@ def tiles(members: DataFrame, agree: int = AGREE) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile.view(np.int64), len(ids))), ids, g.column("class").take(own)], ["tile", "id", "class"])
 
     bucket = ["band", "bucket"]
-    return blocks.paired(blocks.candidates(members, bucket), bucket, "id", BLOCK).mapInArrow(run, "tile long, id long, class long")
+    return blocks.paired(blocks.candidates(members, bucket), bucket, "id", BLOCK).mapInArrow(common.lean(run), "tile long, id long, class long")
 
 
 def shared_weight(row: np.ndarray, value: np.ndarray, count: np.ndarray, weight_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -453,7 +453,7 @@ def tile_links(docs: DataFrame, tiled: DataFrame, documents: int, least: float =
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(to[own])], ["a", "b"])
 
     rows = tiled.join(docs.select(F.col("doc_id").alias("id"), "text", "df"), "id").select("tile", "id", "class", "text", "df")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(common.lean(run), "a long, b long")
 
 
 def several_classes(members: DataFrame, of: DataFrame) -> DataFrame:

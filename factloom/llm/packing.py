@@ -85,7 +85,7 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(common.lean(run), f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("k", key)
 
 
 def knapsack(price: np.ndarray, most: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +265,7 @@ def pack(lengths: DataFrame, key: list[str], size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    placed = ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("salt", "rank")
+    placed = ranked.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long").drop("salt", "rank")
     full = lengths.filter(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return placed.unionByName(full)
 

@@ -113,7 +113,7 @@ def anchor_rows(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFram
                 often = np.isin(h, known)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, sg, ids[row].astype(np.int64), a - off[row] + base[row], more.astype(np.int32), often)], ["h", "sg", "doc", "start", "more", "often"])
 
-    return docs.select("_doc", "text").mapInArrow(run, "h long, sg long, doc long, start long, more int, often boolean")
+    return docs.select("_doc", "text").mapInArrow(common.lean(run), "h long, sg long, doc long, start long, more int, often boolean")
 
 
 def frequent_anchors(docs: DataFrame) -> np.ndarray:
@@ -168,7 +168,7 @@ def repeated(rows: DataFrame) -> DataFrame:
         if held is not None and not sent and len(held[0]) > 1:
             yield rows_of(held, np.full(len(held[0]), SHARED, np.int32), np.ones(len(held[0]), bool))
 
-    return rows.mapInArrow(run, "kind int, h long, sg long, doc long, start long, more int")
+    return rows.mapInArrow(common.lean(run), "kind int, h long, sg long, doc long, start long, more int")
 
 
 def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(kind[row]), pa.array(one), pa.array(two), pa.array(doc[row]), pa.array(at), pa.array(np.zeros(len(row), np.int32)), pa.nulls(len(row), pa.binary())], names)
 
     joined = docs.select("_doc", "text").join(by_doc, "_doc")
-    return joined.mapInArrow(run, "kind int, h long, k2 long, doc long, start long, more int, seg binary")
+    return joined.mapInArrow(common.lean(run), "kind int, h long, k2 long, doc long, start long, more int, seg binary")
 
 
 def shard_repeats(segs: list[bytes], more: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,7 @@ def shared_spans(segs: DataFrame) -> DataFrame:
         if held:
             yield told(held)
 
-    return rows.mapInArrow(run, "doc long, lo long, hi long")
+    return rows.mapInArrow(common.lean(run), "doc long, lo long, hi long")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     rows = docs.join(by_doc, "_doc", "left").select(*names, "text", F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("cuts"))
     schema = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(run, f"{schema}, kept binary, n_removed long, n_spans long")
+    return rows.mapInArrow(common.lean(run), f"{schema}, kept binary, n_removed long, n_spans long")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -69,7 +69,7 @@ def hashed(df: DataFrame, tables: int, bits: int, seed: int = SEED) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int32()))], [*batch.schema.names, "keys"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, keys array<int>")
+    return df.mapInArrow(common.lean(run), f"{schema}, keys array<int>")
 
 
 def links(unique: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -101,7 +101,7 @@ def links(unique: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataF
             keep = near.any(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(count[keep]), pa.array(rep[root[keep]])], ["rep", "links", "root"])
 
-    return blocks.paired(found, bucket, "rep", block).mapInArrow(run, "rep long, links long, root long")
+    return blocks.paired(found, bucket, "rep", block).mapInArrow(common.lean(run), "rep long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
