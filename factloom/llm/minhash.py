@@ -2,7 +2,9 @@
 
 A text's lower-cased words (runs of letters, digits and all characters beyond ASCII) give shingles of five words; a text with
 fewer words has one shingle of all of them. A shingle weighs its number of occurrences times the logarithm of documents over
-documents that hold it. Links are decided by exact numbers of documents; the samples that find candidates take those of
+documents that hold it, and no more than one that one of RARE documents holds: a group of copies makes its own shingles more
+frequent, which would part the near copies of a large group, so that only shingles of a larger share of all documents weigh
+less. Links are decided by exact numbers of documents; the samples that find candidates take those of
 2**18 hashed classes of shingles. Samples of the weighted sets are
 grouped into bands; texts that share a band are candidates, and pairs are linked where the weighted Jaccard similarity of the
 whole texts is at the threshold or above. Classes are the connected components of links.
@@ -37,7 +39,9 @@ WORDS, LEAST, BANDS, ROWS, CLASSES, AGREE, BLOCK = 5, 0.8, 10, 3, 18, 15, 512
 CHUNK, TILE = 1_000_000, 2_000_000
 #: (document, shingle) pairs whose documents are counted in one part; pairs that a task adds up before it sends them; shingles in a
 #: row that is sent, so that a batch of rows is small.
-PART, HELD, ROW = 1 << 18, 1 << 20, 512
+PART, HELD, ROW = 1 << 18, 1 << 18, 512
+#: Shingles that fewer than one of so many documents hold weigh the same.
+RARE = 64
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -135,7 +139,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
 
 
 def idf(frequency: np.ndarray, documents: int) -> np.ndarray:
-    return np.log1p(documents / np.maximum(frequency, 1)).astype(np.float32)
+    return np.log1p(np.minimum(documents / np.maximum(frequency, 1), RARE)).astype(np.float32)
 
 
 def _parts(value: np.ndarray, bits: int) -> list[tuple[int, int, int]]:

@@ -141,6 +141,20 @@ def test_links_by_exact_frequencies(spark):
     assert all(r.doc_id == r.class_id for r in minhash.near_duplicates(docs).collect())
 
 
+def test_near_copies_of_a_large_group(spark):
+    """Copies make their shingles frequent; that does not part those whose texts are alike (0.87 and more of all shingles)."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join(f"f{k}x{i}" for i in range(12))) for k in range(1_000, 5_000)]
+    for k in range(60):
+        own = base.copy()
+        for j in range(2):
+            own[(k * 5 + 150 * j) % 300] = f"z{k}x{j}"
+        rows.append((k, " ".join(own + [f"e{k}x{i}" for i in range(10)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert all(got[k] == (0 if k < 60 else k) for k in got)
+
+
 def test_repeated_rows_and_null_ids(spark):
     a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
     rows = [(5, a), (5, a), (5, b), (None, a + " end"), (None, b + " of it"), (None, "c d e f g h"), (None, "c d e f g h"), (7, None), (7, None), (3, b)]
