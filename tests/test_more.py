@@ -242,3 +242,14 @@ def test_command_line_corrects(spark, g, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.p, r.s, r.o, r.cand) for r in got] == [("bornIn", "p3", "p1", "c2")]
     assert evaluation.evaluate(spark.read.parquet(str(tmp_path / "ranked")).withColumn("is_error", F.col("o") == "p1")).count() == 1
+
+
+def test_suggestions_of_equal_names(spark):
+    """Many entities of few names, and a query given twice, which found nothing when its words were counted twice."""
+    say = ["hot ring", "hot bolt", "hit ring", "ring hot hot", "(x)", None]
+    of = {e: say[e % 6] for e in range(60)}
+    rows = spark.createDataFrame(list(of.items()), "e long, name string")
+    asked = spark.createDataFrame([(k, of[k]) for k in (0, 0, 1, 5)] + [(7, "hot rang")], "q long, name string")
+    got = sorted((r.q, r.rank, r.e, r.dist) for r in names.suggestions(asked, rows, 1, 15).collect())
+    near = {0: [(0, e) for e in range(60) if e % 6 in (0, 3)] + [(1, e) for e in range(60) if e % 6 == 2], 1: [(0, e) for e in range(60) if e % 6 == 1], 7: [(1, e) for e in range(60) if e % 6 in (0, 3)] + [(2, e) for e in range(60) if e % 6 == 2]}
+    assert got == [(q, k, e, d) for q, own in near.items() for k, (d, e) in enumerate(own[:15], 1)]
