@@ -253,3 +253,15 @@ def test_suggestions_of_equal_names(spark):
     got = sorted((r.q, r.rank, r.e, r.dist) for r in names.suggestions(asked, rows, 1, 15).collect())
     near = {0: [(0, e) for e in range(60) if e % 6 in (0, 3)] + [(1, e) for e in range(60) if e % 6 == 2], 1: [(0, e) for e in range(60) if e % 6 == 1], 7: [(1, e) for e in range(60) if e % 6 in (0, 3)] + [(2, e) for e in range(60) if e % 6 == 2]}
     assert got == [(q, k, e, d) for q, own in near.items() for k, (d, e) in enumerate(own[:15], 1)]
+
+
+def test_disambiguation_links_of_many_pages(spark, monkeypatch):
+    """Pages share entities, are entities themselves, and link to unknown ones; each link comes once."""
+    monkeypatch.setattr(names, "SPREAD", 3)
+    rng = np.random.default_rng(4)
+    links = {(f"{'e' if k % 5 == 0 else 'p'}{k % 11}", f"e{rng.integers(0, 25)}") for k in range(150)} | {("p50", f"e{k}") for k in range(20, 30)}
+    known = {f"e{k}" for k in range(23)}
+    want = {x for p, e in links if e in known and p in known for x in ((p, e), (e, p))}
+    want |= {(a, b) for p, a in links for r, b in links if p == r and p not in known and {a, b} <= known and a != b}
+    got = [(r.a, r.b) for r in names.disambiguation_links(spark.createDataFrame(sorted(links), "page string, entity string"), spark.createDataFrame([(e,) for e in known], "e string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
