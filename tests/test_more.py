@@ -265,3 +265,13 @@ def test_disambiguation_links_of_many_pages(spark, monkeypatch):
     want |= {(a, b) for p, a in links for r, b in links if p == r and p not in known and {a, b} <= known and a != b}
     got = [(r.a, r.b) for r in names.disambiguation_links(spark.createDataFrame(sorted(links), "page string, entity string"), spark.createDataFrame([(e,) for e in known], "e string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_types_alone_score_by_type_sets(g, spark):
+    """The scores of feature vectors, without one for each fact; ends without types, an unknown relation and saved tables without shuffle files."""
+    d = detectors.PathsAndTypes(depth=0, classifier="lgr").fit(g)
+    more = g.facts.unionByName(spark.createDataFrame([("knows", "nobody", "p1"), ("knows", "c1", "nobody"), ("new", "p1", "p2")], "p string, s string, o string"))
+    want = {tuple(r) for r in classifiers.predict(more, d._features(more, d.paths), d.models).collect()}
+    got = d.score(more)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().toString()
