@@ -59,11 +59,12 @@ def ids_around(encode: Callable[[list[str]], list[bytes]], added: dict[str, int]
     return [b"".join(own[p] if k % 2 else next(plain) for k, p in enumerate(x)) for x in parts]
 
 
-def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids (binary). Only documents longer than a sequence are cut, from the end,
+def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text: str = "text", added: dict[str, int] | None = None, keep: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, to `keep` them, ids (binary). Only documents longer than a sequence are cut, from the end,
     so that their first piece may be shorter. The rank file holds the vocabulary of byte_bpe_50k.json without its added tokens;
     those given are matched within texts, other special strings are ordinary text."""
     end = np.array([END], "<u4").tobytes()
+    names = ["k", "piece", "start", "length", "ids_crc32", *(["ids"] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = rank_pieces(path)
@@ -79,13 +80,11 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, key: str = "doc_id", text
                         at.append(k)
                         start.append(a)
                         out.append(ids[4 * a : 4 * b])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("k").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array(out, pa.binary())],
-                    ["k", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+                columns = [part.column("k").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(out, pa.binary())] if keep else [])], names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(common.lean(run), f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(common.lean(run), f"k {kind}, piece int, start long, length long, ids_crc32 long{', ids binary' if keep else ''}").withColumnRenamed("k", key)
 
 
 def knapsack(price: np.ndarray, most: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +271,7 @@ def pack(lengths: DataFrame, key: list[str], size: int = SIZE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """All pieces of docs with their places, without the ids."""
-    cut = pieces(docs, path or vocabulary_path(), added=added).drop("ids")
+    cut = pieces(docs, path or vocabulary_path(), added=added, keep=False)
     return pack(common.saved(cut, "pieces"), ["doc_id", "piece", "start", "ids_crc32"])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -37,10 +38,9 @@ def kinds(library: str = "tiktoken") -> np.ndarray:
     return table
 
 
-def split(texts: list[str], library: str = "tiktoken") -> tuple[list[str], np.ndarray]:
-    """All matches of the pattern in all texts in order, and the n + 1 bounds of each text's matches."""
-    if not texts:
-        return [], np.zeros(1, np.int64)
+def places(texts: list[str], library: str = "tiktoken") -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts, each with a zero after it, as one string and as code points; where each match of the pattern starts and ends in
+    them; the n + 1 bounds of each text's matches."""
     big = "\0".join(texts) + "\0"
     codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     breaks = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
@@ -71,27 +71,72 @@ def split(texts: list[str], library: str = "tiktoken") -> tuple[list[str], np.nd
     keep = kind[at] != BREAK
     at, end = at[keep], end[keep]
     bounds = np.concatenate([[0], np.searchsorted(at, breaks)])
+    return big, codes, at, end, bounds
+
+
+def split(texts: list[str], library: str = "tiktoken") -> tuple[list[str], np.ndarray]:
+    """All matches of the pattern in all texts in order, and the n + 1 bounds of each text's matches."""
+    if not texts:
+        return [], np.zeros(1, np.int64)
+    big, _, at, end, bounds = places(texts, library)
     return [big[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)], bounds
 
 
+@cache
+def _factors(n: int = 1024) -> np.ndarray:
+    """Odd factors, the same in every process."""
+    return np.random.default_rng(7).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def same(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the runs of codes (none of them empty) stand for all, and for each run the number of its own among those. Runs meet
+    by a hash, and each is compared with what stands for it; one that differs stands for itself."""
+    low = np.cumsum(size) - size
+    inside = np.arange(size.sum(), dtype=np.int32) - np.repeat(low.astype(np.int32), size)
+    flat = codes[np.repeat(at.astype(np.int32), size) + inside]
+    factor = _factors()
+    value = np.add.reduceat(flat * factor[np.minimum(inside, len(factor) - 1)], low)
+    _, own = np.unique(value ^ (value >> np.uint64(32)), return_inverse=True)
+    first = np.empty(own.max() + 1, np.int64)
+    first[own] = np.arange(len(own))
+    all_ = first[own]
+    differs = codes[np.minimum(np.repeat(at[all_].astype(np.int32), size) + inside, len(codes) - 1)] != flat
+    bad = np.flatnonzero((np.add.reduceat(differs, low) > 0) | (size != size[all_]))
+    own[bad] = len(first) + np.arange(len(bad))
+    return np.concatenate([first, bad]), own
+
+
 class Pieces:
-    """Encodes texts through a bounded cache from match to ids; misses are encoded together."""
+    """Encodes texts through a bounded cache from match to ids. Equal matches of a call are looked up once; misses are encoded
+    together."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], library: str = "tiktoken", most: int = 300_000):
         self.encode, self.library, self.most, self.known = encode, library, most, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts, bounds = split(texts, self.library)
+        if not texts:
+            return []
+        big, codes, at, end, bounds = places(texts, self.library)
+        if not len(at):
+            return [b""] * len(texts)
         if len(self.known) > self.most:
             self.known.clear()
+        first, own = same(codes, at, end - at)
+        parts = [big[a:b] for a, b in zip(at[first].tolist(), end[first].tolist(), strict=True)]
         got = list(map(self.known.get, parts))
         if new := list({p for p, g in zip(parts, got, strict=True) if g is None}):
-            for p, ids in zip(new, self.encode(new), strict=True):
-                self.known[p] = np.array(ids, "<u4").tobytes()
+            ids = self.encode(new)
+            ends = [0, *accumulate(4 * len(x) for x in ids)]
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            self.known.update(zip(new, map(flat.__getitem__, map(slice, ends, ends[1:])), strict=True))
             got = [self.known[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-        b = bounds.tolist()
-        return [b"".join(got[x:y]) for x, y in zip(b, b[1:])]  # noqa: B905
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, start, size = np.frombuffer(b"".join(got), "<u4"), (np.cumsum(size) - size)[own], size[own]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        every = flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)].tobytes()
+        b = (4 * ends[bounds]).tolist()
+        return [every[x:y] for x, y in zip(b, b[1:])]  # noqa: B905
 
 
 @cache
