@@ -295,3 +295,14 @@ def test_connected_pairs_meet_where_fewer_rows_are_made(spark, monkeypatch, hub)
     assert sorted(map(tuple, paths.connected(wanted, facts, ["a", "b"]).collect())) == sorted(want)
     assert min(made) <= n + 1 and max(made) >= n * n
     assert sorted(map(tuple, paths.connected(wanted, facts, ["a", "b", "^b", "^a", "a", "b"]).collect())) == sorted(want)
+
+
+def test_corrections_judge_saved_candidates(g, monkeypatch):
+    """Each step of a correction is a table, so that no plan holds the steps before it."""
+    tags = []
+    keep = correction.saved
+    monkeypatch.setattr(correction, "saved", lambda df, tag: tags.append(tag) or keep(df, tag))
+    d = detectors.TypeAgreement().fit(g)
+    names_ = g.types.select("e").distinct().withColumn("name", F.lit("same"))
+    correction.correct(d.score(g.facts), g, d, names_, 0.2, d=1)
+    assert tags == ["worst", "candidates", "made", "judged"]
