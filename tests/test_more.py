@@ -1,6 +1,7 @@
 """Detectors that learn, corrections, embeddings, link prediction, archives, and the command line."""
 
 import pickle
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import cli
 from factloom.functions import ranks, scalars
+from factloom.functions.saved import folder
 from factloom.model import Graph
 from factloom.operators import classifiers, correction, detectors, embeddings, evaluation, linkpred, names, paths, proje, reasoning, sampling
 from factloom.sources import archive
@@ -306,3 +308,30 @@ def test_corrections_judge_saved_candidates(g, monkeypatch):
     names_ = g.types.select("e").distinct().withColumn("name", F.lit("same"))
     correction.correct(d.score(g.facts), g, d, names_, 0.2, d=1)
     assert tags == ["worst", "candidates", "made", "judged"]
+
+
+def test_vectors_of_subjects_are_made_where_they_are_needed(spark):
+    """As round by round over all entities, but with files for the vectors of few; before, files held those of all, more than once."""
+    n, dim = 3000, 32
+    facts = [("in", f"s{i}", f"o{i * 7 % 40}") for i in range(n)] + [("near", f"s{i}", f"o{i % 23}") for i in range(0, n, 3)] + [("near", "s1", f"x{i}") for i in range(5)] + [("near", "lost", "alone")]
+    g = Graph(spark.createDataFrame(facts, "p string, s string, o string"), spark.createDataFrame([("s1", "T")], "e string, t string"))
+    size = lambda: sum(f.stat().st_size for f in Path(folder(spark)).rglob("*.parquet"))
+    before = size()
+    d = embeddings.Embedding("transe", dim, 2, sample=30).fit(g)
+    got = {(r.p, r.s, r.o): r.score for r in d.score(g.facts).collect()}
+    assert size() - before < n * dim * 8
+    known = {r.e: np.array(r.v) for r in d.objects.unionByName(d.subjects).filter("k = 0").collect()}
+    w, all_ = {r.p: np.array(r.w) for r in d.relations.collect()}, {e for _, s, o in facts for e in (s, o)}
+    while left := all_ - set(known):
+        asks = {}
+        for p, s, o in facts:
+            for own, other, sign in ((s, o, -1), (o, s, 1)):
+                if own in left and other in known:
+                    asks.setdefault(own, []).append(known[other] + sign * w.get(p, np.zeros(dim)))
+        known |= {e: np.mean(x, axis=0) for e, x in asks.items()} or {e: np.zeros(dim) for e in left}
+    assert {r.e: pytest.approx(np.array(r.v), abs=1e-9) for r in d.entities.collect()} == known
+    assert got == {(p, s, o): pytest.approx(-((known[s] + w[p] - known[o]) ** 2).sum(), abs=1e-8) if p in w else None for p, s, o in facts}
+    new = spark.createDataFrame([("in", "s5", "o2"), ("in", "s5", "nobody"), ("other", "s5", "o2"), ("in", "o3", "o4")], "p string, s string, o string")
+    score = {(r.p, r.s, r.o): r.score for r in d.score(new).collect()}
+    assert score[("in", "s5", "nobody")] is None and score[("other", "s5", "o2")] is None and len(score) == 4
+    assert score[("in", "s5", "o2")] == pytest.approx(-((known["s5"] + w["in"] - known["o2"]) ** 2).sum(), abs=1e-8)
