@@ -335,3 +335,25 @@ def test_vectors_of_subjects_are_made_where_they_are_needed(spark):
     score = {(r.p, r.s, r.o): r.score for r in d.score(new).collect()}
     assert score[("in", "s5", "nobody")] is None and score[("other", "s5", "o2")] is None and len(score) == 4
     assert score[("in", "s5", "o2")] == pytest.approx(-((known["s5"] + w["in"] - known["o2"]) ** 2).sum(), abs=1e-8)
+
+
+def test_sizes_of_paths_without_building_dense_ones(spark, monkeypatch):
+    """As by building each path, which was done for dense ones too."""
+    rng = np.random.default_rng(3)
+    dense = {("a", f"s{rng.integers(40)}", f"m{rng.integers(3)}") for _ in range(150)} | {("b", f"m{rng.integers(3)}", f"o{rng.integers(50)}") for _ in range(150)}
+    sparse = {("c", f"o{i}", f"t{i}") for i in range(20)} | {("d", f"t{i}", f"o{i}") for i in range(20)}
+    facts = spark.createDataFrame(sorted(dense | sparse), "p string, s string, o string").persist()
+    asked = [("a", "b"), ("b", "c"), ("^b", "^a"), ("b", "^b"), ("a", "^a"), ("c", "d"), ("c", "a")]
+    n = {path: paths.pairs(facts, list(path)).count() for path in asked}
+    built = []
+    monkeypatch.setattr(paths, "pairs", lambda f, path, real=paths.pairs: built.append(tuple(path)) or real(f, path))
+    for least, most in ((1, 10**6), (1, 200), (30, 200), (30, 1000)):
+        assert paths.of_size(facts, asked, least, most) == [p for p in asked if 0 < n[p] < most and n[p] >= least]
+        assert all(paths._least_pairs(facts, p) <= n[p] for p in asked)
+        if most == 200:
+            assert n[("a", "b")] > 200 and ("a", "b") not in built and ("^b", "^a") not in built
+        built.clear()
+    both = spark.createDataFrame([("near", "x", "y"), ("near", "y", "x"), ("next", "x", "y"), ("next", "y", "z"), ("next", "z", "x")], "p string, s string, o string")
+    planned = detectors.PathsAndTypes(depth=2, min_support=0.0).plan(Graph(both, spark.createDataFrame([("x", "T")], "e string, t string"), None, None, *(spark.createDataFrame([], "p string, t string") for _ in range(2))))
+    steps = {r for own in planned.values() for path in own for r in path}
+    assert "^near" not in steps and "^next" in steps  # next has the same ends, but is not symmetric
