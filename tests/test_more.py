@@ -357,3 +357,20 @@ def test_sizes_of_paths_without_building_dense_ones(spark, monkeypatch):
     planned = detectors.PathsAndTypes(depth=2, min_support=0.0).plan(Graph(both, spark.createDataFrame([("x", "T")], "e string, t string"), None, None, *(spark.createDataFrame([], "p string, t string") for _ in range(2))))
     steps = {r for own in planned.values() for path in own for r in path}
     assert "^near" not in steps and "^next" in steps  # next has the same ends, but is not symmetric
+
+
+def test_paths_of_very_many_pairs_are_features(spark, monkeypatch):
+    """A path was dropped for having many pairs, or many rows to the pair; now no limit holds, and most paths are not built to know."""
+    rows = [("a", f"s{i}", f"m{i % 2}") for i in range(40)] + [("b", f"m{i % 2}", f"o{i}") for i in range(40)] + [("c", "s1", f"n{i}") for i in range(30)] + [("d", f"n{i}", "o1") for i in range(30)]
+    rows += [("r", f"s{i}", f"o{i}") for i in range(40)] + [("e", "o1", "x1")]
+    facts = spark.createDataFrame(rows, "p string, s string, o string").persist()
+    ends = lambda x: spark.createDataFrame(x, "p string, t string")
+    kinds = {"a": "SM", "b": "MO", "c": "SN", "d": "NO", "r": "SO", "e": "OX"}
+    g = Graph(facts, spark.createDataFrame([("s1", "S")], "e string, t string"), None, None, ends([(p, k[0]) for p, k in kinds.items()]), ends([(p, k[1]) for p, k in kinds.items()]))
+    monkeypatch.setattr(paths, "MOST_PAIRS", 100, raising=False)  # the limit of before, which the 800 pairs of a/b pass
+    built = []
+    monkeypatch.setattr(paths, "pairs", lambda f, path, real=paths.pairs: built.append(tuple(path)) or real(f, path))
+    assert detectors.PathsAndTypes(depth=2, min_support=0.0).plan(g)["r"] == [("a", "b"), ("c", "d")] and not built
+    assert paths.of_size(facts, [("a", "b"), ("c", "d"), ("d", "e")], 2) == [("a", "b"), ("d", "e")] and built == [("c", "d")]
+    monkeypatch.setattr(paths, "GROWTH", 2, raising=False)
+    assert paths.of_size(facts, [("c", "d")], 1, 5) == [("c", "d")]  # one pair, 30 rows of its join
