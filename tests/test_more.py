@@ -374,3 +374,17 @@ def test_paths_of_very_many_pairs_are_features(spark, monkeypatch):
     assert paths.of_size(facts, [("a", "b"), ("c", "d"), ("d", "e")], 2) == [("a", "b"), ("d", "e")] and built == [("c", "d")]
     monkeypatch.setattr(paths, "GROWTH", 2, raising=False)
     assert paths.of_size(facts, [("c", "d")], 1, 5) == [("c", "d")]  # one pair, 30 rows of its join
+
+
+def test_paths_score_by_kinds_of_facts(g, spark):
+    """As feature vector by feature vector; and the positives are those of a sort of all facts."""
+    d = detectors.PathsAndTypes(depth=2, min_support=0.0).fit(g)
+    assert any(d.paths.values())
+    more = g.facts.unionByName(spark.createDataFrame([("knows", "nobody", "p1"), ("knows", "p0", "p3"), ("bornIn", "p1", "p2"), ("new", "p1", "p2")], "p string, s string, o string"))
+    want = {tuple(r) for r in classifiers.predict(more, d._features(more, d.paths), d.models).collect()}
+    got = d.score(more).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    rows = spark.range(3000).select(F.when(F.col("id") < 2990, "many").otherwise("few").alias("p"), F.concat(F.lit("s"), "id").alias("s"), F.lit("o").alias("o"))
+    drawn = sampling.drawn_per_relation(rows, 20, 7, {"many": 2990, "few": 10})
+    assert {tuple(r) for r in drawn.collect()} == {tuple(r) for r in sampling.per_relation(rows, 20, 7).collect()}
+    assert sampling.drawn_per_relation(rows, 20, 7, {"many": 10**9, "few": 10}).count() == 30  # a wrong number costs time only
