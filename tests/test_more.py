@@ -388,3 +388,23 @@ def test_paths_score_by_kinds_of_facts(g, spark):
     drawn = sampling.drawn_per_relation(rows, 20, 7, {"many": 2990, "few": 10})
     assert {tuple(r) for r in drawn.collect()} == {tuple(r) for r in sampling.per_relation(rows, 20, 7).collect()}
     assert sampling.drawn_per_relation(rows, 20, 7, {"many": 10**9, "few": 10}).count() == 30  # a wrong number costs time only
+
+
+@pytest.mark.parametrize("combination", ["simple", "matrix"])
+def test_projection_learns_all_facts(spark, combination):
+    """A relation of one fact has a score, which it had not where a sample missed it; a heavy subject is dealt to several chunks."""
+    facts = [("in", f"s{i}", f"o{i % 7}") for i in range(60)] + [("many", "hub", f"x{i}") for i in range(50)] + [("rare", "s1", "o1")]
+    g = Graph(spark.createDataFrame(facts, "p string, s string, o string"), spark.createDataFrame([("s1", "T")], "e string, t string"))
+    d = proje.ProjE(4, 3, 8, combination=combination, chunk=20)
+    d.fit(g)
+    got = d.score(g.facts).collect()
+    assert len(got) == len(facts) and all(r.score is not None for r in got)
+    e = {r.e: np.array(r.v) for r in d.entities.collect()}
+    assert set(e) == {x for _, *ends in facts for x in ends}
+    first = d._first_vectors(np.array(sorted(e), object), 1)
+    assert all(np.abs(e[k] - v).max() > 1e-4 for k, v in zip(sorted(e), first, strict=True))  # each was moved by its facts
+    assert np.abs(first).max() <= 3 and abs(first.mean()) < 0.5
+    w = {r.p: np.array(r.w) for r in d.relations.collect()}
+    for r in got:
+        c = d.combined("tail", e[r.s][None], w[r.p][None])
+        assert r.score == pytest.approx(float((c @ e[r.s] + c @ e[r.o])[0]) / 2, abs=1e-8)
